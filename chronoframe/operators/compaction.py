@@ -25,17 +25,20 @@ from chronoframe.session import cut_lineage
 SMALL_FILE_BYTES = 16_384
 PACK_BYTES = 128 << 20
 CHUNK_FRAMES = 1 << 18
+KEY_BYTES = 16
+NO_STREAM = "\x01"  # stands for a null stream, so that joins meet it
 
-_PIECE = "source_id string, stream_name string, day long, n_frames long, n_bytes long, n_read long, crc long, keys array<binary>, digest string"
+_PIECE = "source_id string, stream_name string, day long, n_frames long, n_bytes long, n_read long, crc long, chunk long, n_keys long, keys binary, digest string"
 
 
 def _keyed(frames: DataFrame) -> DataFrame:
     """Frames with their UTC day and a 128-bit identity of (stream, day, raw)."""
     day = utc_day(F.col("tm_ns"))
-    place = F.encode(F.concat(F.lit("\x00"), F.coalesce("stream_name", F.lit("\x01")), F.lit("\x00"), day.cast("string")), "UTF-8")
+    stream = F.coalesce("stream_name", F.lit(NO_STREAM))
+    place = F.encode(F.concat(F.lit("\x00"), stream, F.lit("\x00"), day.cast("string")), "UTF-8")
     key = F.unhex(F.md5(F.concat("raw", place)))
     return frames.where("source_id is not null and tm_ns is not null and raw is not null").select(
-        "source_id", "stream_name", day.alias("day"), "tm_ns", "seq", "nbytes", "raw", key.alias("key")
+        "source_id", stream.alias("stream_name"), day.alias("day"), "tm_ns", "seq", "nbytes", "raw", key.alias("key")
     )
 
 
@@ -49,13 +52,13 @@ def _profile(cap: int, by: list[str]):
 
         def close() -> None:
             if ident is not None:
-                some = sorted(keys) if keys is not None else None
-                rows.append((*ident[:3], n, stated, read, crc, some, some and hashlib.md5(b"".join(some).hex().upper().encode()).hexdigest()))
+                some = b"".join(sorted(keys)) if keys is not None else None
+                rows.append((*ident[:3], n, stated, read, crc, ident[3], some and len(keys), some, some and hashlib.md5(some).hexdigest()))
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [[]] * 9
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.string()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["source_id", "stream_name", "day", "n_frames", "n_bytes", "n_read", "crc", "keys", "digest"])
+            cols = list(zip(*rows)) if rows else [[]] * 11
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["source_id", "stream_name", "day", "n_frames", "n_bytes", "n_read", "crc", "chunk", "n_keys", "keys", "digest"])
             rows.clear()
             return out
 
@@ -89,7 +92,8 @@ def _profile(cap: int, by: list[str]):
 
 
 def file_profiles(frames: DataFrame, limit: int = SMALL_FILE_BYTES) -> DataFrame:
-    """One row per file and UTC day: stream, frames, stated and read bytes, checksum, set of identities if bounded.
+    """One row per file and UTC day: stream, frames, stated and read bytes, checksum, and its set of identities (their
+    number, the sorted identities as one binary, and a digest), unless there are too many.
 
     A file smaller than ``limit`` holds at most ``limit / 8`` frames, so only that many identities are ever kept.
     Files are read in pieces of ``CHUNK_FRAMES`` frames, so one giant file is spread over many tasks."""
@@ -99,22 +103,31 @@ def file_profiles(frames: DataFrame, limit: int = SMALL_FILE_BYTES) -> DataFrame
     pieces = (
         k.repartition("file", "chunk").sortWithinPartitions("file", *by, "seq").select(*by, "nbytes", "raw", "key").mapInArrow(_profile(cap, by), _PIECE)
     )
-    one = F.count("*") == 1
-    keys = F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys"))))
-    digest = F.md5(F.array_join(F.transform("keys", F.hex), ""))
-    return (
-        pieces.groupBy("source_id", "stream_name", "day")
-        .agg(
-            F.sum("n_frames").alias("n_frames"),
-            F.sum("n_bytes").alias("n_bytes"),
-            F.sum("n_read").alias("n_read"),
-            F.when(one, F.first("crc")).alias("crc"),
-            F.when(one, F.first("keys")).when(F.max(F.col("keys").isNull()), None).otherwise(keys).alias("keys"),
-            F.when(one, F.first("digest")).alias("digest"),
-        )
-        .withColumn("keys", F.when(F.size("keys") <= cap, F.col("keys")))
-        .withColumn("digest", F.coalesce("digest", digest))
-    )
+    pieces = cut_lineage(pieces)
+    many = (F.col("chunk") > 0) | (F.col("n_frames") >= CHUNK_FRAMES)
+    file = ["source_id", "stream_name", "day"]
+    sums = [F.sum(c).alias(c) for c in ("n_frames", "n_bytes", "n_read")]
+    rest = pieces.where(many).select(*file, "chunk").distinct().select(*file).distinct()
+    # a file of several pieces: its set is known only if every piece's is, and is then that of their union
+    giant = pieces.join(rest, file, "left_semi").select(*file, "n_frames", "n_bytes", "n_read", "n_keys", _key_rows("keys", "n_keys").alias("list"))
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_list("list"))))
+    merged = giant.groupBy(*file).agg(*sums, F.when(F.count("n_keys") == F.count("*"), union).alias("list"))
+    merged = merged.withColumn("list", F.when(F.size("list") <= cap, F.col("list"))).select(
+        *file, "n_frames", "n_bytes", "n_read", F.lit(None).cast("long").alias("crc"), F.size("list").cast("long").alias("n_keys"),
+        F.unhex(F.array_join(F.transform("list", F.hex), "")).alias("keys"),
+    )
+    merged = merged.withColumn("digest", F.md5("keys"))
+    single = pieces.join(rest, file, "left_anti").select(*merged.columns)
+    return single.unionByName(merged)
+
+
+def _stream() -> Column:
+    return F.when(F.col("stream_name") != NO_STREAM, F.col("stream_name")).alias("stream_name")
+
+
+def _key_rows(keys: str, n_keys: str) -> Column:
+    """The identities packed in a binary, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.col(n_keys).cast("int") - 1), lambda i: F.substring(F.col(keys), i * KEY_BYTES + 1, F.lit(KEY_BYTES)))
 
 
 def fold_ledger(frames: DataFrame, files: DataFrame, limit: int = SMALL_FILE_BYTES, pack_bytes: int = PACK_BYTES) -> DataFrame:
@@ -129,22 +142,25 @@ def fold_ledger(frames: DataFrame, files: DataFrame, limit: int = SMALL_FILE_BYT
     Copies are found without pairs: equal sets meet by their digest, a contained set by its smallest identity and
     only then by all of them, each time by an equi-join on the identity."""
     names = files.groupBy(F.col("path").alias("source_id")).agg(F.min("file_id").alias("file_id"))
-    profile = file_profiles(frames, limit).join(names, "source_id", "left")
+    profile = file_profiles(frames, limit)
+    file = ["source_id", "stream_name", "day"]
     digest = F.coalesce("digest", F.concat(F.lit("file:"), "source_id", F.col("day").cast("string")))
-    first = F.struct(F.coalesce("file_id", F.lit((1 << 63) - 1)).alias("rank"), "source_id", "file_id", "n_frames", "n_bytes", "n_read", "crc")
+    first = F.struct(F.coalesce("file_id", F.lit((1 << 63) - 1)).alias("rank"), "source_id", "file_id", "n_frames", "n_bytes", "n_read", "crc", "n_keys")
     sets = (
-        profile.withColumn("set_id", digest)
+        profile.select(*file, "n_frames", "n_bytes", "n_read", "crc", "n_keys", digest.alias("set_id"), F.substring("keys", 1, KEY_BYTES).alias("anchor"))
+        .join(names, "source_id", "left")
         .groupBy("stream_name", "day", "set_id")
-        .agg(F.min(first).alias("f"), F.count("*").alias("n_same"), F.first("keys").alias("keys"))
+        .agg(F.min(first).alias("f"), F.count("*").alias("n_same"), F.first("anchor").alias("anchor"))
         .withColumn("n_files", F.sum("n_same").over(Window.partitionBy("stream_name", "day")))
         .where((F.col("f.n_bytes") < limit) & (F.col("n_files") >= 2))
-        .select("set_id", "stream_name", "day", "n_same", "keys", F.col("f.*"))
+        .select("set_id", "stream_name", "day", "n_same", "anchor", F.col("f.*"))
     )
     sets = cut_lineage(sets)
     held = _keyed(frames).select("key", "source_id")
-    anchors = sets.select("set_id", "n_same", F.element_at("keys", 1).alias("key"))
+    anchors = sets.select("set_id", "n_same", F.col("anchor").alias("key"))
     suspects = anchors.hint("shuffle_hash").join(held, "key").groupBy("set_id").agg(F.countDistinct("source_id").alias("n_with"), F.first("n_same").alias("n_same")).where("n_with > n_same").select("set_id")
-    wanted = sets.join(suspects, "set_id", "left_semi").select("set_id", "n_same", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
+    wanted = sets.join(suspects, "set_id", "left_semi").select("set_id", "n_same", *file)
+    wanted = wanted.join(profile.select(*file, "n_keys", "keys"), file).select("set_id", "n_same", "n_keys", F.explode(_key_rows("keys", "n_keys")).alias("key"))
     covered = (
         wanted.hint("shuffle_hash").join(held, "key")
         .groupBy("set_id", "source_id")
@@ -162,7 +178,7 @@ def fold_ledger(frames: DataFrame, files: DataFrame, limit: int = SMALL_FILE_BYT
         .select(
             "file_id",
             "source_id",
-            "stream_name",
+            _stream(),
             day_text(F.col("day")).alias("file_day"),
             "n_frames",
             "n_bytes",
@@ -244,7 +260,7 @@ def pack_frames(frames: DataFrame, out_dir: str | None = None, pack_bytes: int =
     placed = (
         distinct_frames(frames)
         .withColumn("start", F.sum("nbytes").over(day) - F.col("nbytes"))
-        .select("stream_name", day_text(F.col("day")).alias("file_day"), whole_div(F.col("start"), pack_bytes).alias("pack"), "start", "nbytes", "raw")
+        .select(_stream(), day_text(F.col("day")).alias("file_day"), whole_div(F.col("start"), pack_bytes).alias("pack"), "start", "nbytes", "raw")
     )
     return (
         placed.repartition("stream_name", "file_day", "pack")
