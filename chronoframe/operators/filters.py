@@ -25,6 +25,8 @@ def regex_condition(text: Column, patterns: list[str], match_any: bool = False,
 
 def filter_regex(frames: DataFrame, patterns: list[str], match_any: bool = False, exclude: bool = False, text: Column | None = None) -> DataFrame:
     """The frames whose printed line (or ``text``) fulfils the condition. One stage, no shuffle."""
+    if not patterns:
+        raise ValueError("no pattern")
     marked = frames.withColumn("_text", text if text is not None else stringify())
     return marked.where(regex_condition(F.col("_text"), patterns, match_any, exclude)).drop("_text")
 

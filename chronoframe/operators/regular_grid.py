@@ -39,22 +39,26 @@ def interval_ns(text: Column, default_ns: int = MINUTE_NS) -> Column:
     return F.coalesce(F.when(ns > 0, ns), F.lit(default_ns))
 
 
-def _als(m: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Factors of the standardised matrix ``m`` (NaN = missing): every round solves the ridge-regularised least
-    squares of all columns given the rows, then of all rows given the columns."""
+def _solve(w: np.ndarray, x: np.ndarray, f: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """Ridge-regularised least squares of every row of ``x`` (weights ``w``) on the features ``f``."""
+    a = (w @ (f[:, :, None] * f[:, None, :]).reshape(len(f), -1)).reshape(-1, f.shape[1], f.shape[1]) + np.diag(ridge)
+    return np.linalg.solve(a, (x @ f)[..., None])[..., 0]
+
+
+def _als(m: np.ndarray, rank: int) -> np.ndarray:
+    """The standardised matrix ``m`` (NaN = missing) as an offset per source plus a product of low rank: every round
+    solves all columns given the rows, then all rows and offsets given the columns."""
     w = ~np.isnan(m)
     x = np.where(w, m, 0.0)
     wf = w.astype(float)
-    rng = np.random.default_rng(7)
-    u = np.concatenate([np.ones((m.shape[0], 1)), rng.standard_normal((m.shape[0], rank - 1)) * 0.5], axis=1)
-    eye = np.eye(rank) * RIDGE
-    v = None
+    u = np.concatenate([np.ones((len(m), 1)), np.random.default_rng(7).standard_normal((len(m), rank - 1)) * 0.5], axis=1)
+    offset = np.zeros((len(m), 1))
+    ridge = np.full(rank, RIDGE)
     for _ in range(ROUNDS):
-        a = (wf.T @ (u[:, :, None] * u[:, None, :]).reshape(len(u), -1)).reshape(-1, rank, rank) + eye
-        v = np.linalg.solve(a, (x.T @ u)[..., None])[..., 0]
-        a = (wf @ (v[:, :, None] * v[:, None, :]).reshape(len(v), -1)).reshape(-1, rank, rank) + eye
-        u = np.linalg.solve(a, (x @ v)[..., None])[..., 0]
-    return u, v
+        v = _solve(wf.T, (x - offset * wf).T, u, ridge)
+        rows = _solve(wf, x, np.concatenate([np.ones((len(v), 1)), v], axis=1), np.append(RIDGE / 10, ridge))
+        offset, u = rows[:, :1], rows[:, 1:]
+    return offset + u @ v.T
 
 
 def complete(m: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +75,8 @@ def complete(m: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     std = np.nanstd(part, axis=1, keepdims=True)
     std[~(std > 0)] = 1.0
     cols = (~np.isnan(part)).any(axis=0)
-    u, v = _als((part[:, cols] - mean) / std, min(rank, int(good.sum())))
     guess = np.full(part.shape, np.nan)
-    guess[:, cols] = (u @ v.T) * std + mean
+    guess[:, cols] = _als((part[:, cols] - mean) / std, min(rank, int(good.sum()))) * std + mean
     rows = np.flatnonzero(good)
     filled[rows] = np.where(w[rows], m[rows], guess)
     return filled, support & ~w

@@ -144,8 +144,8 @@ class FrameReader(DataSourceReader):
         return day is None or not ((self.low is not None and day + DAY_NS <= self.low) or (self.high is not None and day > self.high))
 
     def partitions(self) -> list[InputPartition]:
-        every = int(self.options.get("splitBytes", 256 << 20))
-        pack = int(self.options.get("packBytes", PACK_BYTES))
+        every = int(self.options.get("splitbytes", 256 << 20))
+        pack = int(self.options.get("packbytes", PACK_BYTES))
         out: list[InputPartition] = []
         parts: list[tuple[str, int, int, int]] = []
         size = 0
@@ -166,7 +166,7 @@ class FrameReader(DataSourceReader):
         return out
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        limit = int(self.options.get("maxFrameBytes", DEFAULT_MAX_FRAME_BYTES))
+        limit = int(self.options.get("maxframebytes", DEFAULT_MAX_FRAME_BYTES))
         yield from _batches(partition.parts, self.schema, limit, self.options.get("mode", "DROPTAIL").upper() == "FAILFAST")
 
 
@@ -191,7 +191,7 @@ class FollowReader(DataSourceStreamReader):
         return {p: list(x) for p, x in self.known.items()}
 
     def initialOffset(self) -> dict:
-        return self._extend() if self.options.get("startingAt", "begin") == "end" else {}
+        return self._extend() if self.options.get("startingat", "begin") == "end" else {}
 
     def latestOffset(self) -> dict:
         return self._extend()
@@ -205,7 +205,7 @@ class FollowReader(DataSourceStreamReader):
         return out
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        limit = int(self.options.get("maxFrameBytes", DEFAULT_MAX_FRAME_BYTES))
+        limit = int(self.options.get("maxframebytes", DEFAULT_MAX_FRAME_BYTES))
         yield from _batches(partition.parts, self.schema, limit, False)
 
     def commit(self, end: dict) -> None:
@@ -222,7 +222,7 @@ class FrameWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex[:12]
-        self.raw = options.get("rawColumn", "raw")
+        self.raw = options.get("rawcolumn", "raw")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -274,13 +274,13 @@ class FrameSource(DataSource):
         return StructType([FRAME_SCHEMA[n] for n in names])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return FrameReader(schema, dict(self.options))
+        return FrameReader(schema, {k.lower(): v for k, v in self.options.items()})
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return FollowReader(schema, dict(self.options))
+        return FollowReader(schema, {k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return FrameWriter(dict(self.options), overwrite)
+        return FrameWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -17,15 +17,8 @@ from chronoframe.sources.frames import FORMAT, register
 
 def event_time(data: Column, arrived_ns: Column) -> Column:
     """Nanoseconds of the first eight bytes where there are so many, else the time of arrival."""
-    word = F.conv(_little_endian(data), 16, 10)
-    unsigned = word.cast("decimal(20,0)")
-    signed = F.when(unsigned >= 2**63, unsigned - F.lit(2**64).cast("decimal(20,0)")).otherwise(unsigned).cast("long")
-    return F.when(F.octet_length(data) >= 8, signed).otherwise(arrived_ns)
-
-
-def _little_endian(data: Column) -> Column:
-    """Hexadecimal of the first eight bytes, last byte first."""
-    return F.concat(*(F.hex(F.substring(data, k, 1)) for k in range(8, 0, -1)))
+    high, low = (F.conv(F.concat(*(F.hex(F.substring(data, k, 1)) for k in places)), 16, 10).cast("long") for places in ((8, 7, 6, 5), (4, 3, 2, 1)))
+    return F.when(F.octet_length(data) >= 8, F.shiftleft(high, 32).bitwiseOR(low)).otherwise(arrived_ns)
 
 
 def archived(messages: DataFrame, service: str) -> DataFrame:
