@@ -201,7 +201,7 @@ def percentiles(digests: DataFrame, by: list[str], qs: tuple[float, ...] = QUANT
     return digests.mapInArrow(run, f"{_types(digests, by)}, n long, estimates array<double>")
 
 
-def certify(df: DataFrame, value: str, by: list[str], estimates: DataFrame, qs: tuple[float, ...] = QUANTILES) -> DataFrame:
+def certify(df: DataFrame, value: str, by: list[str], estimates: DataFrame, qs: tuple[float, ...] = QUANTILES, delta: int = DELTA) -> DataFrame:
     """Second pass: counts the values below and up to each estimate. Yields the estimates with ``rank_error`` (the
     largest distance between a wanted and a held rank, as a share of n) and ``certified`` (all within `error_bound`).
 
@@ -218,7 +218,7 @@ def certify(df: DataFrame, value: str, by: list[str], estimates: DataFrame, qs:
     within = None
     for e, q in zip(errors, qs):
         # a quantile between two values may be either of them, hence one value of play
-        x = e <= error_bound(q) + 1 / F.col("n")
+        x = e <= error_bound(q, delta) + 1 / F.col("n")
         within = x if within is None else within & x
     return counted.select(*by, "n", "estimates", F.greatest(*errors).alias("rank_error") if len(errors) > 1 else errors[0].alias("rank_error"), within.alias("certified"))
 
@@ -226,5 +226,5 @@ def certify(df: DataFrame, value: str, by: list[str], estimates: DataFrame, qs:
 def certified_percentiles(df: DataFrame, value: str, by: list[str], qs: tuple[float, ...] = QUANTILES, delta: int = DELTA) -> DataFrame:
     """Per group: n, one column per quantile (``p50`` for 0.5), rank_error and certified."""
     estimates = cut_lineage(percentiles(build_digests(df, value, by, delta), by, qs))
-    sure = certify(df, value, by, estimates, qs)
+    sure = certify(df, value, by, estimates, qs, delta)
     return sure.select(*by, "n", *(F.col("estimates")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(qs)), "rank_error", "certified")
