@@ -7,7 +7,9 @@ import json
 import math
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,9 @@ def float_text(x: float) -> str:
         return "+Inf" if x > 0 else "-Inf"
     if x == 0:
         return "-0" if math.copysign(1, x) < 0 else "0"
+    if 1e-4 <= abs(x) < 1e16:
+        plain = repr(x)
+        return plain[:-2] if plain.endswith(".0") else plain
     sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
     power = len(digits) + exponent - 1
     text = "".join(map(str, digits))
@@ -167,14 +172,7 @@ def display_line(row: tuple, payload: bytes | None, i: int = -1, pretty: bool =
     evtnum = row[2]
     if skip_payload:
         return s
-    shape = indent_json if pretty else (lambda t: t)
-    if _shows_json(evtnum):
-        s += "  " + shape((payload or b"").decode("utf-8", "replace"))
-    elif evtnum in MSGPACK_EVTNUMS and (t := msgpack_json(payload)) is not None:
-        s += " " + shape(t)
-    elif evtnum == SCHEMA_EVTNUM and schema is not None and (t := schema_json(payload, schema)) is not None:
-        s += " " + shape(t)
-    return s
+    return s + _payload_text(evtnum, payload, indent_json if pretty else str, schema)
 
 
 def table_line(tm_ns: int, pti: int, evtnum: int, v0: float | None, v1: int | None, payload: bytes | None) -> str:
@@ -194,24 +192,45 @@ def table_line(tm_ns: int, pti: int, evtnum: int, v0: float | None, v1: int | No
 _COLUMNS = ("tm_ns", "pti", "evtnum", "nbytes", "ucount", "v0", "v1", "payload")
 
 
-def _rows(series: tuple) -> zip:
-    cols = []
-    for s, name in zip(series, _COLUMNS):
-        if name == "v0":
-            cols.append(s.tolist())
-        elif name == "payload":
-            cols.append([None if x is None else bytes(x) for x in s])
-        else:
-            cols.append([0 if x is None or x != x else int(x) for x in s])
-    return zip(*cols)
+def _times(tm: pa.Array) -> list[str]:
+    """`time_text` of a whole column."""
+    ns = tm.to_numpy(zero_copy_only=False).astype(np.int64)
+    seconds = np.floor_divide(ns, 1_000_000_000)
+    rest = (ns - seconds * 1_000_000_000).tolist()
+    base = np.datetime_as_string(seconds.astype("datetime64[s]")).tolist()
+    return [(f"{b}." + f"{r:09d}".rstrip("0") + "Z") if r else b + "Z" for b, r in zip(base, rest)]
+
+
+def _payload_text(evtnum: int, payload: bytes | None, shape, schema: dict | None) -> str:
+    if _shows_json(evtnum):
+        return "  " + shape((payload or b"").decode("utf-8", "replace"))
+    if evtnum in MSGPACK_EVTNUMS and (t := msgpack_json(payload)) is not None:
+        return " " + shape(t)
+    if evtnum == SCHEMA_EVTNUM and schema is not None and (t := schema_json(payload, schema)) is not None:
+        return " " + shape(t)
+    return ""
 
 
 def stringify(number: Column | None = None, pretty: bool = False, skip_payload: bool = False, schema: dict | None = None) -> Column:
     """Display line of each frame; with ``number`` its row number in front."""
-
-    @F.pandas_udf(T.StringType())
-    def run(tm: pd.Series, pti: pd.Series, evtnum: pd.Series, nbytes: pd.Series, ucount: pd.Series, v0: pd.Series, v1: pd.Series, payload: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series([display_line(r[:3] + r[3:7], r[7], int(k), pretty, skip_payload, schema) for r, k in zip(_rows((tm, pti, evtnum, nbytes, ucount, v0, v1, payload)), i)])
+    shape = indent_json if pretty else str
+
+    @F.arrow_udf(T.StringType())
+    def run(tm: pa.Array, pti: pa.Array, evtnum: pa.Array, nbytes: pa.Array, ucount: pa.Array, v0: pa.Array, v1: pa.Array, payload: pa.Array, i: pa.Array) -> pa.Array:
+        out = []
+        columns = (x.to_pylist() for x in (pti, evtnum, nbytes, ucount, v0, v1, payload, i))
+        for t, p, e, n, u, a, b, d, k in zip(_times(tm), *columns):
+            s = f"{HEADER_WORD} {t} EVTNUM {name_of(e)} [{n} bytes] (UCOUNT {u})"
+            if p == 2:
+                s += f" V0:{float_text(a)}"
+            elif p == 3:
+                s += f" V0:{float_text(a)} V1:{b}"
+            elif p == 1:
+                s += f" V1:{b}"
+            if k >= 0:
+                s = f"{k:06d} {s}"
+            out.append(s if skip_payload or p != 7 else s + _payload_text(e, d, shape, schema))
+        return pa.array(out, pa.string())
 
     return run(*_COLUMNS, number if number is not None else F.lit(-1))
 
@@ -223,9 +242,10 @@ def header_text() -> Column:
 def stringify_table() -> Column:
     """Table line of each frame."""
 
-    @F.pandas_udf(T.StringType())
-    def run(tm: pd.Series, pti: pd.Series, evtnum: pd.Series, nbytes: pd.Series, ucount: pd.Series, v0: pd.Series, v1: pd.Series, payload: pd.Series) -> pd.Series:
-        return pd.Series([table_line(t, p, e, a, b, d) for t, p, e, _, _, a, b, d in _rows((tm, pti, evtnum, nbytes, ucount, v0, v1, payload))])
+    @F.arrow_udf(T.StringType())
+    def run(tm: pa.Array, pti: pa.Array, evtnum: pa.Array, nbytes: pa.Array, ucount: pa.Array, v0: pa.Array, v1: pa.Array, payload: pa.Array) -> pa.Array:
+        rows = zip(tm.to_pylist(), *(x.to_pylist() for x in (pti, evtnum, v0, v1, payload)))
+        return pa.array([table_line(*r) for r in rows], pa.string())
 
     return run(*_COLUMNS)
 
