@@ -138,3 +138,11 @@ def to_frames(df: DataFrame, tm: str, evtnum: str, v0: str | None = None, v1: st
     d = d.withColumn("v0", F.when(F.col("pti").isin(2, 3), zero)).withColumn("v1", F.when(F.col("pti").isin(1, 3), F.coalesce("b", F.lit(0).cast("long"))))
     d = d.withColumn("nbytes", wire_size(F.col("pti"), F.col("ucount"))).withColumn("raw", encode_raw("tm_ns", "evtnum", "v0", "v1", "payload"))
     return d.select("source_id", "seq", F.lit(None).cast("long").alias("byte_offset"), "nbytes", "tm_ns", "pti", "evtnum", "v0", "v1", "ucount", "payload", "raw")
+
+
+def to_msgpack_frames(df: DataFrame, tm: str, columns: list[str], source: str | None = None, seq: str | None = None) -> DataFrame:
+    """Frames whose payload is the msgpack of the given columns."""
+    from chronoframe.functions.text import json_to_msgpack
+
+    d = df.withColumn("_payload", json_to_msgpack(F.to_json(F.struct(*columns)))).withColumn("_evtnum", F.lit(9))
+    return to_frames(d, tm, "_evtnum", payload="_payload", source=source, seq=seq)

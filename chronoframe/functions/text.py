@@ -10,7 +10,7 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -308,3 +308,51 @@ def pack_msgpack(x) -> bytes:
     if isinstance(x, list):
         return head(len(x), 0x90, 16, ((0xDC, ">H"), (0xDD, ">I"))) + b"".join(map(pack_msgpack, x))
     return head(len(x), 0x80, 16, ((0xDE, ">H"), (0xDF, ">I"))) + b"".join(pack_msgpack(str(k)) + pack_msgpack(v) for k, v in x.items())
+
+
+@F.pandas_udf(T.BinaryType())
+def schema_to_msgpack(text: pd.Series, struct_name: pd.Series) -> pd.Series:
+    """Payload by field number of JSON texts whose members are field numbers; the struct's name goes first, at -1."""
+    out = []
+    for t, name in zip(text, struct_name):
+        members = {int(k): v for k, v in json.loads(t).items()}
+        head = bytes([0x80 | (len(members) + 1)]) if len(members) < 15 else b"\xde" + (len(members) + 1).to_bytes(2, "big")
+        out.append(head + b"\xff" + pack_msgpack(name) + b"".join(pack_msgpack(k) + pack_msgpack(v) for k, v in members.items()))
+    return pd.Series(out)
+
+
+# The field types of a schema document.
+SCHEMA_TYPES = {
+    "string": T.StringType(), "bool": T.BooleanType(), "float32": T.FloatType(), "float64": T.DoubleType(), "[]byte": T.BinaryType(),
+    "int": T.LongType(), "int8": T.ByteType(), "int16": T.ShortType(), "int32": T.IntegerType(), "int64": T.LongType(),
+    "uint": T.LongType(), "uint8": T.ShortType(), "uint16": T.IntegerType(), "uint32": T.LongType(), "uint64": T.DecimalType(20, 0),
+}
+
+
+def schema_struct(schema: dict, name: str) -> T.StructType:
+    """Spark type of a struct of a schema document, to read the JSON of its payloads with `from_json`. Maps have text
+    keys in JSON; structs nest; unknown types are texts."""
+
+    def kind(full: dict) -> T.DataType:
+        text = full.get("Str", "")
+        if text == "Map":
+            return T.MapType(T.StringType(), kind(full["Range"]))
+        if text in ("Slice", "Array"):
+            return T.ArrayType(kind(full["Domain"]))
+        if text == "Pointer":
+            return kind(full["Domain"])
+        return schema_struct(schema, text) if text in schema.get("Structs", {}) else SCHEMA_TYPES.get(text, T.StringType())
+
+    fields = schema["Structs"][name]["Fields"]
+    return T.StructType([T.StructField(f.get("FieldTagName") or f["FieldGoName"], kind(f.get("FieldFullType", {"Str": f.get("FieldTypeStr", "")}))) for f in sorted(fields, key=lambda f: f["Zid"])])
+
+
+def display(frames: DataFrame, pretty: bool = False, skip_payload: bool = False, table: bool = False, schema: dict | None = None) -> DataFrame:
+    """The lines (``value``, ready for `write.text`) of all sources in order of source and place, numbered from 1 across
+    them; as table lines without numbers."""
+    from chronoframe.operators.ordering import ranked
+
+    if table:
+        return frames.orderBy("source_id", "seq").select(stringify_table().alias("value"))
+    r = ranked(frames, "source_id", "seq")
+    return r.select("rank", stringify(F.col("rank") + 1, pretty, skip_payload, schema).alias("value")).orderBy("rank").select("value")

@@ -88,6 +88,36 @@ def index_frames(index: DataFrame) -> DataFrame:
     return to_frames(index.withColumn("_e", F.lit(1)), "tm_ns", "_e", v1="byte_offset", source="source_id", seq="seq")
 
 
+def write_indexes(index: DataFrame) -> DataFrame:
+    """Write each source's index beside it, as ``<source>.idx``; yields the paths and numbers of entries. A file is
+    renamed into place, so a repeated task replaces it."""
+    import os
+
+    from chronoframe import codec
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, sink, n, done = None, None, 0, []
+
+        def close() -> None:
+            if sink is not None:
+                sink.close()
+                os.replace(sink.name, path)
+                done.append((path, n))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if path != row["source_id"] + ".idx":
+                    close()
+                    path, n = row["source_id"] + ".idx", 0
+                    sink = open(path + ".part", "wb")  # noqa: SIM115
+                sink.write(codec.pack(row["tm_ns"], 1, v1=row["byte_offset"]))
+                n += 1
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "n"])
+
+    return index.repartition("source_id").sortWithinPartitions("source_id", "seq").mapInArrow(run, "path string, n long")
+
+
 def checksums(frames: DataFrame) -> DataFrame:
     """Each frame's time with the checksum of its content: source_id, seq, tm_ns, v1."""
     from chronoframe.functions.frames import checksum64

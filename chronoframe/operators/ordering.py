@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.times import whole_div
+from chronoframe.session import cut_lineage
 
 BUCKET_ROWS = 1 << 20
 
@@ -51,8 +52,9 @@ def merge(*sources: DataFrame, presorted: bool = True) -> DataFrame:
 
 def ranked(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     """Dense 0-based place in a global order without a single-task window: range-partitioned sort, then the number of
-    rows in the partitions before."""
-    placed = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    rows in the partitions before. The sorted rows are written to the shared folder once."""
+    # kept once, since a second evaluation may cut the ranges elsewhere
+    placed = cut_lineage(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     starts = sizes.select(F.col("_p").alias("_q"), "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))
     return placed.join(F.broadcast(starts), F.col("_p") == F.col("_q")).withColumn(name, F.col("_start") + F.col("_m") - F.col("_first")).select(*df.columns, name)

@@ -64,7 +64,12 @@ def group_per_source(spark, d):
     return grouping.count_per(table(spark, d, "frames"), MINUTE_NS, ["source_id"])
 
 
-@query()
+@query(f"""WITH RECURSIVE idx AS (
+SELECT source_id, seq, tm_ns, byte_offset, tm_ns - tm_ns % {MINUTE_NS} + {MINUTE_NS} AS due FROM frames WHERE seq = 0
+UNION ALL SELECT source_id, seq, tm_ns, byte_offset, due FROM (
+  SELECT f.source_id, f.seq, f.tm_ns, f.byte_offset, f.tm_ns - f.tm_ns % {MINUTE_NS} + {MINUTE_NS} AS due, row_number() OVER (PARTITION BY f.source_id ORDER BY f.seq) AS k
+  FROM idx JOIN frames f ON f.source_id = idx.source_id AND f.seq > idx.seq AND f.tm_ns > idx.due) WHERE k = 1)
+SELECT source_id, seq, tm_ns, byte_offset FROM idx""")
 def index_minute(spark, d):
     return grouping.time_index(table(spark, d, "frames"))
 
