@@ -262,11 +262,14 @@ def pack_frames(frames: DataFrame, out_dir: str | None = None, pack_bytes: int =
         .withColumn("start", F.sum("nbytes").over(day) - F.col("nbytes"))
         .select(_stream(), day_text(F.col("day")).alias("file_day"), whole_div(F.col("start"), pack_bytes).alias("pack"), "start", "nbytes", "raw")
     )
-    return (
-        placed.repartition("stream_name", "file_day", "pack")
-        .sortWithinPartitions("stream_name", "file_day", "pack", "start")
-        .mapInArrow(_pack_writer(out_dir), "stream_name string, file_day string, pack long, n_frames long, n_bytes long, crc32 long, path string")
-    )
+    return write_packs(placed, out_dir, "start")
+
+
+def write_packs(placed: DataFrame, out_dir: str | None, *order: str) -> DataFrame:
+    """Concatenate ``raw`` by (stream_name, file_day, pack), in the given order, into
+    ``<out_dir>/<file_day>/<stream_name>/pack-<pack>``; yields the manifest. ``nbytes`` must state each length."""
+    by = ["stream_name", "file_day", "pack"]
+    return placed.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(_pack_writer(out_dir), "stream_name string, file_day string, pack long, n_frames long, n_bytes long, crc32 long, path string")
 
 
 def pack_files(files: DataFrame, group: Column, out_dir: str, kind: str = "lines", header: bool = False, pack_bytes: int = PACK_BYTES) -> DataFrame:

@@ -41,7 +41,7 @@ from chronoframe.schema import DAY_NS, DEFAULT_MAX_FRAME_BYTES, FRAME_SCHEMA
 FORMAT = "chronoframe"
 PACK_BYTES = 64 << 20
 BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
-_DAY = re.compile(r"/([0-9]{4})/([0-9]{2})/([0-9]{2})/[^/]+$")
+_DAY = re.compile(r"/([0-9]{4})/([0-9]{2})/([0-9]{2})/")
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "tinyint": pa.int8(), "double": pa.float64(), "binary": pa.binary()}
 
 
@@ -59,7 +59,7 @@ def list_files(path: str) -> list[str]:
 
 
 def day_of_path(path: str) -> int | None:
-    """Start of the UTC day a file lies in by the layout YYYY/MM/DD/stream, in nanoseconds."""
+    """Start of the UTC day a file lies in by the layout YYYY/MM/DD/..., in nanoseconds."""
     import datetime
 
     m = _DAY.search(path)

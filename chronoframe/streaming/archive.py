@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from chronoframe.functions import paths
 from chronoframe.functions.dates import date_of_ns, date_text
+from chronoframe.operators.compaction import write_packs
 from chronoframe.operators.ordering import merge
 from chronoframe.sources.frames import FORMAT, register
 
@@ -38,16 +39,26 @@ def acknowledgements(stored: DataFrame, service: str) -> DataFrame:
     return direct.unionByName(asked.select(F.concat(F.lit(f"{service}.storage-ack."), "stream").alias("subject"), F.col("id").alias("data")))
 
 
-def archive(messages: DataFrame, directory: str, checkpoint: str, service: str, acknowledge: Callable[[DataFrame, int], None] | None = None, every: str | None = "1 minute") -> StreamingQuery:
-    """Store a stream of messages under ``directory`` by year, month, day and stream. Each batch has its own folder
-    and replaces it when repeated, so nothing is stored twice; acknowledgements follow the data. No watermark: late
-    data is always accepted. ``every`` None handles what is there and stops."""
+def archive(messages: DataFrame, directory: str, checkpoint: str, service: str, acknowledge: Callable[[DataFrame, int], None] | None = None, every: str | None = "1 minute", layout: str = "parquet") -> StreamingQuery:
+    """Store a stream of messages under ``directory`` by year, month, day and stream. Acknowledgements follow the data.
+    No watermark: late data is always accepted. ``every`` None handles what is there and stops.
+
+    ``parquet``: each batch has its own folder and replaces it when repeated. ``frames``: each batch adds one frame
+    file per day and stream, ``YYYY/MM/DD/<stream>/pack-<batch>``, renamed into place, which the frame source reads and
+    compaction folds. Either way a repeated batch stores nothing twice."""
+    if layout not in ("parquet", "frames"):
+        raise ValueError(f"unknown layout {layout!r}")
 
     def store(batch: DataFrame, number: int) -> None:
         placed = archived(batch, service).persist()
         try:
             place = ["year", "month", "day", "stream"]
-            placed.select(*place, "tm_ns", "id", F.col("data").alias("raw")).repartition(*place).sortWithinPartitions(*place, "tm_ns").write.mode("overwrite").partitionBy(*place).parquet(f"{directory}/batch={number:09d}")
+            if layout == "frames":
+                day = F.concat_ws("/", "year", "month", "day")
+                packs = placed.select(F.col("stream").alias("stream_name"), day.alias("file_day"), F.lit(number).cast("long").alias("pack"), F.octet_length("data").alias("nbytes"), F.col("data").alias("raw"), "tm_ns", "id")
+                write_packs(packs, directory, "tm_ns", "id").count()
+            else:
+                placed.select(*place, "tm_ns", "id", F.col("data").alias("raw")).repartition(*place).sortWithinPartitions(*place, "tm_ns").write.mode("overwrite").partitionBy(*place).parquet(f"{directory}/batch={number:09d}")
             if acknowledge is not None:
                 acknowledge(acknowledgements(placed, service), number)
         finally:

@@ -1,6 +1,7 @@
 import pytest
 
 from chronoframe.operators.dedup import mark_duplicates
+from chronoframe.sources.frames import read_frames
 from chronoframe.streaming import archive as ar
 from chronoframe.streaming.dedup import mark_duplicates_stream
 from chronoframe.streaming.grouping import count_per_stream
@@ -26,6 +27,20 @@ def test_archive(spark, tmp_path):
         ar.available_days(str(tmp_path / "nowhere"))
 
 
+def test_archive_as_frame_files(spark, tmp_path):
+    rows = [("svc.archive.s", None, frame(BASE + i * 8, 2, float(i))) for i in range(5)] + [("svc.archive.t", None, frame(BASE + DAY, 5))]
+    spark.createDataFrame(rows, "subject string, reply string, data binary").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("subject string, reply string, data binary").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the same batch again, as after a failure
+        ar.archive(stream, str(tmp_path / "out"), str(tmp_path / f"ck{_}"), "svc", every=None, layout="frames").awaitTermination(120)
+    got = read_frames(spark, str(tmp_path / "out"), layout="day").orderBy("source_id", "seq").collect()
+    assert [bytes(r.raw) for r in got] == [r[2] for r in rows]
+    assert got[0].source_id.endswith("/2016/02/16/s/pack-00000") and ar.available_days(str(tmp_path / "out")) == ["2016/02/16", "2016/02/17"]
+    assert read_frames(spark, str(tmp_path / "out"), layout="day").where(f"tm_ns >= {BASE + DAY}").count() == 1
+    with pytest.raises(ValueError):
+        ar.archive(stream, "x", "y", "svc", layout="other")
+
+
 def test_replay_sends_once(spark):
     a = frames_df(spark, [("s", "a", frame(BASE + i * 8, 2, float(i))) for i in (0, 2, 4)])
     b = frames_df(spark, [("s", "b", frame(BASE + i * 8, 2, float(i))) for i in (1, 3)])
