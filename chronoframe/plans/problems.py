@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.operators.compaction import fold_ledger, pack_frames
+from chronoframe.operators.compaction import PACK_BYTES, fold_ledger, pack_frames
 from chronoframe.operators.outliers import implausible
 from chronoframe.operators.regular_grid import empty_periods, regular_grid
 from chronoframe.operators.shredding import child_objects, entities, shred
@@ -21,8 +21,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_packs(spark: SparkSession, d: str) -> DataFrame:
-    """The packs that hold every distinct frame once: frames, bytes and checksum of each."""
-    return pack_frames(table(spark, d, "frames")).drop("path")
+    """The packs that hold every distinct frame once: frames and bytes of each."""
+    return pack_frames(table(spark, d, "frames")).drop("path", "crc32")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +76,11 @@ covered AS (SELECT DISTINCT ma.source_id FROM c JOIN m ma ON ma.source_id = c.a
             WHERE c.k = ma.k AND (mb.k > ma.k OR mb.k = ma.k AND mb.file_id < ma.file_id))
 SELECT file_id, stream_name, strftime(make_date(1970, 1, 1) + CAST(day AS INTEGER), '%Y/%m/%d') AS file_day
 FROM m WHERE b < 16384 AND n >= 2 AND source_id NOT IN (SELECT source_id FROM covered)""",
+    "p1_packs": f"""
+WITH u AS (SELECT stream_name, tm_ns // 86400000000000 AS day, tm_ns, raw, min(nbytes) AS nbytes FROM frames GROUP BY ALL),
+s AS (SELECT *, sum(nbytes) OVER (PARTITION BY stream_name, day ORDER BY tm_ns, raw ROWS UNBOUNDED PRECEDING) - nbytes AS start FROM u)
+SELECT stream_name, strftime(make_date(1970, 1, 1) + CAST(day AS INTEGER), '%Y/%m/%d') AS file_day, CAST(start // {PACK_BYTES} AS BIGINT) AS pack,
+count(*) AS n_frames, CAST(sum(nbytes) AS BIGINT) AS n_bytes FROM s GROUP BY ALL""",
     "p2_found": f"""
 WITH c AS (SELECT stream_name, CASE WHEN trim(coalesce(group_interval, '')) = '' THEN 60000000000 ELSE CAST(round(
   CASE WHEN n = '' THEN 1.0 WHEN n LIKE '%/%' THEN CAST(split_part(n, '/', 1) AS DOUBLE) / CAST(split_part(n, '/', 2) AS DOUBLE) ELSE CAST(n AS DOUBLE) END
