@@ -28,7 +28,7 @@ CHUNK_FRAMES = 1 << 18
 KEY_BYTES = 16
 NO_STREAM = "\x01"  # stands for a null stream, so that joins meet it
 
-_PIECE = "source_id string, stream_name string, day long, n_frames long, n_bytes long, n_read long, crc long, chunk long, n_keys long, keys binary, digest string"
+_PIECE = "source_id string, stream_name string, day long, n_frames long, n_bytes long, n_read long, crc long, chunk long, n_keys long, keys binary, anchor binary, digest string"
 
 
 def _keyed(frames: DataFrame) -> DataFrame:
@@ -53,12 +53,12 @@ def _profile(cap: int, by: list[str]):
         def close() -> None:
             if ident is not None:
                 some = b"".join(sorted(keys)) if keys is not None else None
-                rows.append((*ident[:3], n, stated, read, crc, ident[3], some and len(keys), some, some and hashlib.md5(some).hexdigest()))
+                rows.append((*ident[:3], n, stated, read, crc, ident[3], some and len(keys), some, some and some[:KEY_BYTES], some and hashlib.md5(some).hexdigest()))
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [[]] * 11
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["source_id", "stream_name", "day", "n_frames", "n_bytes", "n_read", "crc", "chunk", "n_keys", "keys", "digest"])
+            cols = list(zip(*rows)) if rows else [[]] * 12
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["source_id", "stream_name", "day", "n_frames", "n_bytes", "n_read", "crc", "chunk", "n_keys", "keys", "anchor", "digest"])
             rows.clear()
             return out
 
@@ -93,7 +93,7 @@ def _profile(cap: int, by: list[str]):
 
 def file_profiles(frames: DataFrame, limit: int = SMALL_FILE_BYTES) -> DataFrame:
     """One row per file and UTC day: stream, frames, stated and read bytes, checksum, and its set of identities (their
-    number, the sorted identities as one binary, and a digest), unless there are too many.
+    number, the sorted identities as one binary, the smallest one, and a digest), unless there are too many.
 
     A file smaller than ``limit`` holds at most ``limit / 8`` frames, so only that many identities are ever kept.
     Files are read in pieces of ``CHUNK_FRAMES`` frames, so one giant file is spread over many tasks."""
@@ -114,7 +114,7 @@ def file_profiles(frames: DataFrame, limit: int = SMALL_FILE_BYTES) -> DataFrame
     merged = giant.groupBy(*file).agg(*sums, F.when(F.count("n_keys") == F.count("*"), union).alias("list"))
     merged = merged.withColumn("list", F.when(F.size("list") <= cap, F.col("list"))).select(
         *file, "n_frames", "n_bytes", "n_read", F.lit(None).cast("long").alias("crc"), F.size("list").cast("long").alias("n_keys"),
-        F.unhex(F.array_join(F.transform("list", F.hex), "")).alias("keys"),
+        F.unhex(F.array_join(F.transform("list", F.hex), "")).alias("keys"), F.get("list", F.lit(0)).alias("anchor"),
     )
     merged = merged.withColumn("digest", F.md5("keys"))
     single = pieces.join(rest, file, "left_anti").select(*merged.columns)
@@ -147,7 +147,7 @@ def fold_ledger(frames: DataFrame, files: DataFrame, limit: int = SMALL_FILE_BYT
     digest = F.coalesce("digest", F.concat(F.lit("file:"), "source_id", F.col("day").cast("string")))
     first = F.struct(F.coalesce("file_id", F.lit((1 << 63) - 1)).alias("rank"), "source_id", "file_id", "n_frames", "n_bytes", "n_read", "crc", "n_keys")
     sets = (
-        profile.select(*file, "n_frames", "n_bytes", "n_read", "crc", "n_keys", digest.alias("set_id"), F.substring("keys", 1, KEY_BYTES).alias("anchor"))
+        profile.select(*file, "n_frames", "n_bytes", "n_read", "crc", "n_keys", digest.alias("set_id"), "anchor")
         .join(names, "source_id", "left")
         .groupBy("stream_name", "day", "set_id")
         .agg(F.min(first).alias("f"), F.count("*").alias("n_same"), F.first("anchor").alias("anchor"))
