@@ -99,8 +99,10 @@ def source_limit(length: np.ndarray, n_all: np.ndarray, n_open: np.ndarray) -> t
     """(gain, limit, posterior by length) of one source's lengths in one unit. ``n_open`` counts open-ended texts, with
     or without a mark.
 
-    Candidates are the largest lengths that open-ended texts have; texts longer than a candidate count against it,
-    since nothing observed can be longer than a limit."""
+    Candidates are all lengths that open-ended texts have, and the longest. Texts longer than a candidate count against
+    it, since a limit lets none pass but strays: they may be 0.2 % of the texts at most, and the likelihood has the split
+    of what is longer into stopped and passed. All limits that gain enough count in the posterior, the better first, none
+    in another's zone; the limit and gain returned are the best one's."""
     order = np.argsort(length)
     length, n_all, n_open = length[order].astype(float), n_all[order].astype(float), n_open[order].astype(float)
     usable = length > 0
@@ -108,25 +110,33 @@ def source_limit(length: np.ndarray, n_all: np.ndarray, n_open: np.ndarray) -> t
     if n_open.sum() < LEAST_OPEN:
         return 0.0, None, {}
     _, _, base = fit_censored(length, n_all, float(length[-1]), 0.0)
-    best: tuple[float, int | None, dict[int, float]] = (0.0, None, {})
-    candidates = np.unique(np.append(length[n_open > 0][-8:], length[-1]))
-    for c in candidates:
-        if n_all[length > c].sum() > 0.002 * n_all.sum():
+    tried: list[tuple[float, int, dict[int, float]]] = []
+    for c in np.unique(np.append(length[n_open > 0], length[-1])):
+        over = float(n_all[length > c].sum())
+        if over > 0.002 * n_all.sum():
             continue
         zone = (length > c - ZONE) & (length <= c)
-        cut = n_open[zone].sum()
+        cut = float(n_open[zone].sum())
         if cut < LEAST_OPEN:
             continue
         rest = n_all - np.where(zone, n_open, 0)
-        mu, sigma, like = fit_censored(length, rest, float(c), float(cut))
+        mu, sigma, like = fit_censored(length, rest, float(c), cut)
         share = (n_open[zone] + 0.5 / ZONE) / (cut + 0.5)
         like += float((n_open[zone] * np.log(share)).sum())
-        if like - base > best[0]:
-            at_limit = math.exp(float(_log_cdf(np.array([(mu - math.log(c)) / sigma]))[0]))
-            free = np.exp(_mass(length[zone], mu, sigma)) * max(n_open[~zone].sum() / max(n_all[~zone].sum(), 1), 1e-3)
-            posterior = at_limit * share / (at_limit * share + free)
-            best = (like - base, int(c), {int(x): float(p) for x, p, o in zip(length[zone], posterior, n_open[zone]) if o > 0})
-    return best if best[0] > LEAST_GAIN else (best[0], None, {})
+        if over:
+            like += over * math.log(over / (over + cut)) + cut * math.log(cut / (over + cut))
+        at_limit = math.exp(float(_log_cdf(np.array([(mu - math.log(c)) / sigma]))[0]))
+        free = np.exp(_mass(length[zone], mu, sigma)) * max(n_open[~zone].sum() / max(n_all[~zone].sum(), 1), 1e-3)
+        posterior = at_limit * share / (at_limit * share + free)
+        tried.append((like - base, int(c), {int(x): float(p) for x, p, o in zip(length[zone], posterior, n_open[zone]) if o > 0}))
+    tried.sort(key=lambda t: -t[0])
+    kept: list[int] = []
+    near: dict[int, float] = {}
+    for gain, c, posterior in tried:
+        if gain > LEAST_GAIN and all(abs(c - k) >= ZONE for k in kept):
+            kept.append(c)
+            near |= posterior
+    return max(0.0, tried[0][0] if tried else 0.0), kept[0] if kept else None, near
 
 
 def source_limits(ends: DataFrame) -> DataFrame:

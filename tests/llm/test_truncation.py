@@ -61,6 +61,35 @@ def test_censored_fit():
     assert abs(mu - 4.5) < 0.03 and abs(sigma - 0.6) < 0.03
 
 
+def _lengths(n, limit, strays):
+    """Counts by length: 3 % cut anywhere, 5 % titles, cuts at the limit, open-ended strays of different lengths above."""
+    rng = np.random.default_rng(1)
+    length = np.maximum(5, np.round(np.exp(rng.normal(4.6, 0.6, n)))).astype(int)
+    loose = rng.random(n) < 0.08
+    if limit:
+        over = length > limit
+        length[over] = limit - rng.integers(0, 3, over.sum())
+        loose |= over
+    length, loose = np.append(length, strays), np.append(loose, np.ones(len(strays), bool))
+    at, i = np.unique(length, return_inverse=True)
+    return at, np.bincount(i), np.bincount(i, weights=loose).astype(int)
+
+
+def test_limit_under_many_strays():
+    strays = [240 + 20 * i for i in range(12)]
+    gain, limit, posterior = tr.source_limit(*_lengths(8000, 220, strays))
+    assert limit == 220 and gain > 1000 and min(posterior[x] for x in (218, 219, 220)) > tr.SURE and max(posterior) == 220
+
+
+def test_every_limit_that_gains_counts():
+    _, limit, posterior = tr.source_limit(*_lengths(8000, 220, [400] * 12))
+    assert limit == 220 and posterior[220] > tr.SURE and posterior[400] > tr.CERTAIN
+
+
+def test_no_limit_in_the_tail_of_a_large_source():
+    assert tr.source_limit(*_lengths(300_000, None, []))[1:] == (None, {})
+
+
 @pytest.mark.parametrize("text", [None, "", "  \n", "​"])
 def test_nothing_to_judge(spark, text):
     df = spark.createDataFrame([(1, text, "s"), (2, "It is whole.", None)], "doc_id long, text string, source string")
