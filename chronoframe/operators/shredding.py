@@ -328,3 +328,24 @@ def entities(node_table: DataFrame, path: str, members: list[str]) -> DataFrame:
     leaves = node_table.where(F.col("label").isin(members) & ~F.col("kind").isin(OBJECT, ARRAY)).select("source_id", "seq", F.col("parent_id").alias("node_id"), "label", "scalar")
     joined = objects.join(leaves, key, "left").groupBy(*key, "node_path", "parent_path")
     return joined.agg(*(F.max(F.when(F.col("label") == m, F.col("scalar"))).alias(m) for m in members)).drop("node_id")
+
+
+def all_entities(node_table: DataFrame) -> DataFrame:
+    """One entity row per object, the root too: source_id, seq, node_path, parent_path, its general ``path`` (as in
+    `entities`; a member name of digits counts as an index) and ``members``, its scalar members as a map of
+    texts. Null members have a null text; a member that is an object has its own row, one that is an array none.
+
+    Scalars meet their object by (source_id, seq, node), combined before the only shuffle."""
+    is_object = F.col("kind") == OBJECT
+    rows = node_table.where(F.col("kind") != ARRAY)
+    owner = F.when(is_object, F.col("node_id")).otherwise(F.col("parent_id"))
+    scalar = F.when(~is_object, F.struct("ordinal", "label", "scalar"))
+    by = rows.select("source_id", "seq", owner.alias("owner"), F.when(is_object, F.struct("node_path", "parent_path")).alias("place"), scalar.alias("member")).groupBy("source_id", "seq", "owner")
+    found = by.agg(F.max("place").alias("place"), F.array_sort(F.collect_list("member")).alias("m")).where("place is not null")  # else the scalars of an array
+    entries = F.transform("m", lambda x: F.struct(x["label"].alias("k"), x["scalar"].alias("v")))
+    names = F.array_distinct(F.transform("m", lambda x: x["label"]))
+    # names that only differ in lone surrogates are one text; the last counts
+    last = F.transform(names, lambda k: F.struct(k.alias("k"), F.element_at(F.filter("m", lambda x: x["label"] == k), -1)["scalar"].alias("v")))
+    members = F.map_from_entries(F.when(F.size(names) == F.size("m"), entries).otherwise(last))
+    general = F.regexp_replace("place.node_path", "/[0-9]+(?=/|$)", "/*")
+    return found.select("source_id", "seq", "place.node_path", "place.parent_path", general.alias("path"), members.alias("members"))

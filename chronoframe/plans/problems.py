@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronoframe.operators.compaction import PACK_BYTES, fold_ledger, pack_frames
 from chronoframe.operators.outliers import implausible
 from chronoframe.operators.regular_grid import empty_periods, regular_grid
-from chronoframe.operators.shredding import child_objects, entities, shred
+from chronoframe.operators.shredding import all_entities, child_objects, entities, shred
 from chronoframe.plans.tables import table
 
 
@@ -45,6 +45,11 @@ def p3_spans(spark: SparkSession, d: str) -> DataFrame:
     return entities(shred(table(spark, d, "frames"), table(spark, d, "evtnum_registry")), "/spans/*", ["id", "name"])
 
 
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    """An entity row for every object of every path, with its scalar members."""
+    return all_entities(shred(table(spark, d, "frames"), table(spark, d, "evtnum_registry")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every stored copy of a faulty reading."""
     return implausible(table(spark, d, "frames"), table(spark, d, "stream_config")).select("source_id", "seq")
@@ -59,7 +64,7 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_packs, p2_found, p2_grid, p3_found, p3_spans, p4_found, p4_reasons)
+    f.__name__: f for f in (p1_found, p1_packs, p2_found, p2_grid, p3_found, p3_spans, p3_entities, p4_found, p4_reasons)
 }
 
 _READ = "v0 IS NOT NULL AND NOT isnan(v0)"

@@ -77,3 +77,21 @@ def test_shred(spark):
     spans = sorted((r.seq, r.node_path, r.parent_path, r.id, r.name, r.deep) for r in sh.entities(full, "/spans/*", ["id", "name", "deep"]).collect())
     assert spans == [(s, p, "", i, n, None) for s in (0, 1) for p, i, n in (("/spans/0", "7", "n"), ("/spans/1", None, None))]
     assert sh.shred(f.where("false"), reg).count() == 0 and sh.shred(f, reg.where("false")).count() == 0
+
+
+def test_entities_of_every_path(spark):
+    import __spark_entry__
+
+    assert "p3_entities" in __spark_entry__.queries()
+    payloads = [(14, json.dumps(DOC).encode()), (9, pack_msgpack(DOC)), (14, b'[1,[2],{"b":true,"a":1.50}]'), (14, b'{"\\ud800":1,"\\ud801":2}'), (14, b"7"), (14, b"{}"), (14, b'{"a":{}')]
+    f = frames_df(spark, [("s", "f", frame(BASE + i * 8, e, payload=p)) for i, (e, p) in enumerate(payloads)])
+    got = {}
+    for r in sh.all_entities(sh.shred(f, spark.createDataFrame(REGISTRY, SCHEMA))).collect():
+        assert r.node_path not in got.setdefault(r.seq, {})
+        got[r.seq][r.node_path] = (r.parent_path, r.path, r.members)
+    assert {(k, v[0]) for k, v in got[0].items()} == OBJECTS | {("", "")} and got[0] == got[1]
+    assert got[0][""] == ("", "", {"t": '{"not":"opened"}', "e": None})
+    assert got[0]["/list/0"] == ("", "/list/*", {"k": "1"}) and got[0]["/list/1/0/m"] == ("/list/1/0", "/list/*/*/m", {})
+    assert got[0]["/spans/0"][1:] == ("/spans/*", {"id": "7", "name": "n"}) and got[0]["/spans/1"][2] == {"id": None}
+    assert got[2] == {"/2": ("", "/*", {"b": "true", "a": "1.50"})} and got[3] == {"": ("", "", {"?": "2"})} and got[5] == {"": ("", "", {})}
+    assert set(got) == {0, 1, 2, 3, 5}
