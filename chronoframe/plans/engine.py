@@ -205,6 +205,17 @@ def payload_grep(spark, d):
     return filters.extract_groups(f, F.col("line"), '"lsn": ?([0-9]+)', 1, "lsn").select("source_id", "seq", "lsn")
 
 
+_TEXT_PAYLOAD = "payload IS NOT NULL AND (evtnum IN (-1, 12, 13, 14) OR evtnum BETWEEN 2000 AND 9999)"
+
+
+@query(rf"""SELECT source_id, seq, regexp_extract(line, '\\x22lsn\\x22: ?([0-9]+)', 1) AS lsn FROM (SELECT source_id, seq, CAST(payload AS VARCHAR) AS line FROM frames WHERE {_TEXT_PAYLOAD})
+WHERE regexp_matches(line, '\\x22lsn\\x22: ?([0-9]+)')""")
+def payload_grep_all(spark, d):
+    """`payload_grep` over every payload that the registry calls text or json. The SQL has bytes as DuckDB prints them."""
+    f = table(spark, d, "frames").where(_TEXT_PAYLOAD).withColumn("line", F.col("payload").cast("string"))
+    return filters.extract_groups(f, F.col("line"), '"lsn": ?([0-9]+)', 1, "lsn").select("source_id", "seq", "lsn")
+
+
 @query("""SELECT strftime(ts, '%Y/%m/%d') AS day, event_type AS stream, '/archive/' || strftime(ts, '%Y/%m/%d') || '/' || event_type AS path, count(*) AS n FROM events GROUP BY ALL""")
 def archive_partitions(spark, d):
     ev = _events(spark, d)

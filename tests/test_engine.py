@@ -180,3 +180,17 @@ def test_last_n_and_ring(spark):
     assert ring.capacity == 4 and ring.previous_place(1) == 0 and ring.advance(9) == 4
     with pytest.raises(EOFError):
         ring.read(1)
+
+
+def test_payload_grep_searches_all_text(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    hit = b'{"lsn": 7}'
+    rows = [(e, hit) for e in (-1, 12, 13, 14, 2000, 2101, 3003, 9999)] + [(14, b'\xff"lsn":8'), (14, b'{"lsn":"x"}'), (9, hit), (16, hit), (1999, hit), (10000, hit), (14, None)]
+    f = spark.createDataFrame([("s", i, e, p and bytearray(p)) for i, (e, p) in enumerate(rows)], "source_id string, seq long, evtnum int, payload binary")
+    f.write.parquet(f"{tmp_path}/frames.parquet")
+    got = sorted((r.seq, r.lsn) for r in entry.queries()["payload_grep_all"](spark, str(tmp_path)).collect())
+    assert got == [(i, "7") for i in range(8)] + [(8, "8")]
+    con = pytest.importorskip("duckdb").connect()
+    con.sql(f"create view frames as select * from '{tmp_path}/frames.parquet/*.parquet'")
+    assert sorted(con.sql(f"select seq, lsn from ({entry.oracle_sql()['payload_grep_all']})").fetchall()) == got
