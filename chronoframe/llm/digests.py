@@ -223,8 +223,10 @@ def certify(df: DataFrame, value: str, by: list[str], estimates: DataFrame, qs:
     return counted.select(*by, "n", "estimates", F.greatest(*errors).alias("rank_error") if len(errors) > 1 else errors[0].alias("rank_error"), within.alias("certified"))
 
 
-def certified_percentiles(df: DataFrame, value: str, by: list[str], qs: tuple[float, ...] = QUANTILES, delta: int = DELTA) -> DataFrame:
-    """Per group: n, one column per quantile (``p50`` for 0.5), rank_error and certified."""
-    estimates = cut_lineage(percentiles(build_digests(df, value, by, delta), by, qs))
+def certified_percentiles(df: DataFrame, value: str, by: list[str], qs: tuple[float, ...] = QUANTILES, delta: int = DELTA, parts: list[str] | None = None) -> DataFrame:
+    """Per group: n, one column per quantile (``p50`` for 0.5), rank_error and certified. With ``parts``, digests are
+    built per group and part and merged; what the merging adds to the error is in rank_error, the bound stays."""
+    digests = build_digests(df, value, [*by, *(parts or [])], delta)
+    estimates = cut_lineage(percentiles(merge_digests(digests, by, delta) if parts else digests, by, qs))
     sure = certify(df, value, by, estimates, qs, delta)
     return sure.select(*by, "n", *(F.col("estimates")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(qs)), "rank_error", "certified")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.functions.times import day_text, utc_day
-from chronoframe.llm.digests import QUANTILES, build_digests, certified_percentiles, merge_digests, percentiles
+from chronoframe.llm.digests import certified_percentiles
 from chronoframe.llm.leakage import leaked_items, leaked_spans
 from chronoframe.llm.runs import collapse_runs
 from chronoframe.llm.tokens import decode_ids, encode_corpus
@@ -27,10 +27,8 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_stream_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per stream over all days, from the merged digests of the days."""
-    days = build_digests(_values(spark, d), "v0", ["stream_name", "day"])
-    p = percentiles(merge_digests(days, ["stream_name"]), ["stream_name"])
-    return p.select("stream_name", "n", *(F.col("estimates")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(QUANTILES)))
+    """Percentiles per stream over all days, from the merged digests of the days, each with its certified rank error."""
+    return certified_percentiles(_values(spark, d), "v0", ["stream_name"], parts=["day"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -51,3 +51,22 @@ def test_spark(spark, monkeypatch):
     every = np.array([r[2] for r in rows if r[0] == "a"])
     assert both["a"].n == 7000 and all(_rank_error(every, x, q) <= dg.error_bound(q) for x, q in zip(both["a"].estimates, dg.QUANTILES))
     assert dg.certified_percentiles(df.where("false"), "v", ["k", "day"]).count() == 0
+
+
+def test_merged_parts_are_certified(spark):
+    rng = np.random.default_rng(3)
+    days = [rng.normal(5 * d, 1 + d, 3000) for d in range(6)]
+    rows = [("a", d, float(x)) for d, v in enumerate(days) for x in v] + [("b", 0, None), ("c", 0, float("-inf")), (None, 1, 2.0)]
+    df = spark.createDataFrame(rows, "k string, day int, v double").repartition(5)
+    got = {r.k: r for r in dg.certified_percentiles(df, "v", ["k"], parts=["day"]).collect()}
+    every = np.concatenate(days)
+    a = got["a"]
+    assert set(got) == {"a", "c", None} and a.n == 18_000 and all(r.certified for r in got.values())
+    errors = [_rank_error(every, a[f"p{round(q * 100):02d}"], q) for q in dg.QUANTILES]
+    assert abs(a.rank_error - max(errors)) < 1e-12 and got["c"].p50 == float("-inf")
+
+
+def test_stream_percentiles_are_certified(spark):
+    import __spark_entry__ as entry
+
+    assert entry.queries()["p5_stream_percentiles"](spark, "/root/testdata/sf0.001").columns[-2:] == ["rank_error", "certified"]
