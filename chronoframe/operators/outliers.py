@@ -234,8 +234,8 @@ def implausible(frames: DataFrame, config: DataFrame, fence: float = FENCE) -> D
     after, on the same side; where neighbours still lie off on one side the excursion is longer than it looks and no
     spike. Stuck: a hold (each value within the deadband of the one before) of at least ``MIN_HOLD`` readings and more
     than ``HOLD_TIMES`` the stream's mean hold. Streams of unit ``code`` are only checked for impossible values.
-    Streams without configuration have no limits and no deadband, so only spikes. A stream whose scatter is zero has
-    no spikes. Ties of tm_ns are ordered by raw; an empty input gives no rows.
+    Streams without configuration have no limits and no deadband, so only spikes. An hour whose
+    scatter is zero takes the stream's, a stream whose scatter is zero its deadband; without one it has no spikes. Ties of tm_ns are ordered by raw; an empty input gives no rows.
 
     Two passes over the readings, each one shuffle by stream and day and then a stream of blocks: a day of any size
     needs ``BLOCK`` readings of memory. The statistics joined in between have one row per stream and hour. Copies
@@ -246,11 +246,11 @@ def implausible(frames: DataFrame, config: DataFrame, fence: float = FENCE) -> D
     hours = table.where("whole = 0").select("stream_name", "hour", "sigma", "k")
     key = F.coalesce("stream_name", F.lit("\x01"))
     known = hours.join(own.withColumnRenamed("stream_name", "s"), F.col("stream_name").eqNullSafe(F.col("s"))).select(
-        key.alias("s"), F.col("hour").alias("h"), F.when(F.col("k") >= BUCKET_LEAST, F.col("sigma")).otherwise(F.col("own_sigma")).alias("sigma"), "mean_hold"
+        key.alias("s"), F.col("hour").alias("h"), F.when((F.col("k") >= BUCKET_LEAST) & (F.col("sigma") > 0), F.col("sigma")).otherwise(F.col("own_sigma")).alias("sigma"), "mean_hold"
     )
     hour = whole_div(F.pmod("tm_ns", F.lit(DAY_NS)), HOUR_NS).cast("int")
     judged = readings.join(known, (key == F.col("s")) & (hour == F.col("h")), "left").drop("s", "h")
-    judged = judged.withColumns({"sigma": F.coalesce("sigma", F.lit(0.0)), "mean_hold": F.coalesce("mean_hold", F.lit(float("inf")))})
+    judged = judged.withColumns({"sigma": F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.greatest("deadband", F.lit(0.0))), "mean_hold": F.coalesce("mean_hold", F.lit(float("inf")))})
     faults = _in_order(judged).mapInArrow(_judge(fence), _PASS2).groupBy("stream_name", "raw").agg(*(F.max(c).alias(c) for c in ("impossible", "spike", "stuck")))
     stored = frames.where("v0 is not null and not isnan(v0) and tm_ns is not null and raw is not null").select("source_id", "seq", "stream_name", "raw")
     f = faults.withColumnRenamed("raw", "r").withColumn("s", key).drop("stream_name")

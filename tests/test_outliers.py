@@ -58,3 +58,23 @@ def test_empty_and_tiny(spark):
     assert ol.implausible(f, config).count() == 0
     assert ol.implausible(f.where("false"), config).count() == 0
     assert ol.implausible(f.withColumn("raw", F.lit(None).cast("binary")), config).count() == 0
+
+
+def test_spikes_of_streams_without_scatter(spark):
+    flat = np.tile([5.0, 5.0, 5.0, 5.0, 5.0, 5.0, 5.5], 90)
+    spikes = flat.copy()
+    spikes[[50, 300]] = [60.0, 6.0]
+    config = [("flat", None, "C", None, None, 0.1), ("free", None, "C", None, None, None)]
+    assert _spikes(_run(spark, {"flat": spikes, "free": spikes}, config)) == {"f-flat": [50, 300]}
+
+
+def test_an_hour_without_scatter_takes_that_of_the_stream(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([20 + rng.standard_normal(1440), np.tile([20.0, 20.0, 20.0, 20.0, 20.0, 21.0], 60)])
+    v[1600] = 90.0
+    got = _spikes(_run(spark, {"s": v}, [("s", None, "C", None, None, None)]))
+    assert 1600 in got["f-s"]
+
+
+def _spikes(got):
+    return {k: sorted(i for i, x in v.items() if x[1]) for k, v in got.items() if any(x[1] for x in v.values())}
