@@ -40,3 +40,13 @@ def test_null_ids_and_empty(spark):
     assert sorted(len(r.ids) for r in tk.encode_corpus(df, chunk=16, overlap=8).collect()) == [0, len(_reference(["a b" * 30])[0])]
     assert tk.encode_corpus(df.where("false")).count() == 0
     assert tk.decode_ids(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()[0].text is None
+
+
+def test_long_texts_at_the_production_chunk(spark):
+    rng = random.Random(5)
+    words = "".join(rng.choice(["the ", "Bells ", "don't ", "  ", "東京は", "é", "1234", "\n", "🙂", ". "]) for _ in range(12_000))
+    texts = [words, "x" * 9000, " " * 9000 + "y", "x" * 8192, words[:8193]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert max(map(len, texts)) > 3 * tk.CHUNK_CHARS
+    got = {r.doc_id: r.ids for r in tk.encode_corpus(df).select("doc_id", "ids").collect()}
+    assert got == dict(enumerate(_reference(texts)))
