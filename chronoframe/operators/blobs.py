@@ -11,6 +11,7 @@ Three kinds of content can be concatenated as bytes:
 
 from __future__ import annotations
 
+import functools
 import zlib
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ ZSTD_MAGIC = 0xFD2FB528
 ZSTD_SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 ZSTD_DICT_ID_BYTES = (0, 1, 2, 4)
 ZSTD_CONTENT_SIZE_BYTES = (0, 2, 4, 8)
+# Fixed value: the polynomial of CRC-32 (IEEE 802.3), bits reversed.
+CRC32_POLYNOMIAL = 0xEDB88320
 
 
 class BrokenFile(ValueError):
@@ -66,6 +69,36 @@ def zstd_frames(data: bytes) -> int:
     return n
 
 
+def _times(matrix: tuple[int, ...], vector: int) -> int:
+    """Product over bits."""
+    out, i = 0, 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[i]
+        vector >>= 1
+        i += 1
+    return out
+
+
+@functools.lru_cache(maxsize=64)
+def _zero_bytes(power: int) -> tuple[int, ...]:
+    """What ``2 ** power`` appended zero bytes do to a CRC: a linear map, found by repeated squaring."""
+    if power == -3:  # one bit
+        return (CRC32_POLYNOMIAL, *(1 << i for i in range(31)))
+    half = _zero_bytes(power - 1)
+    return tuple(_times(half, x) for x in half)
+
+
+def crc32_combine(first: int, second: int, length: int) -> int:
+    """CRC-32 of two pieces one after the other, from the CRC of each and the length of the second."""
+    power = 0
+    while length >> power:
+        if length >> power & 1:
+            first = _times(_zero_bytes(power), first)
+        power += 1
+    return first ^ second if length > 0 else first
+
+
 @dataclass
 class Joiner:
     """Joins contents one after another; `add` returns the bytes to append."""

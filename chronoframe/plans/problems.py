@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.operators.compaction import PACK_BYTES, fold_ledger, pack_frames
+from chronoframe.operators.compaction import PACK_BYTES, fold_frames, folded_files, packs
 from chronoframe.operators.outliers import implausible
 from chronoframe.operators.regular_grid import empty_periods, regular_grid
 from chronoframe.operators.shredding import all_entities, child_objects, entities, shred
@@ -15,14 +15,13 @@ from chronoframe.plans.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Files to fold into their stream's day."""
-    ledger = fold_ledger(table(spark, d, "frames"), table(spark, d, "archive_files"))
-    return ledger.where("file_id is not null").select("file_id", "stream_name", "file_day")
+    """Files to fold into their stream's day, as they were joined into its packs."""
+    return folded_files(fold_frames(table(spark, d, "frames"), table(spark, d, "archive_files")))
 
 
 def p1_packs(spark: SparkSession, d: str) -> DataFrame:
     """The packs that hold every distinct frame once: frames and bytes of each."""
-    return pack_frames(table(spark, d, "frames")).drop("path", "crc32")
+    return packs(fold_frames(table(spark, d, "frames"), table(spark, d, "archive_files"))).drop("path", "crc32")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

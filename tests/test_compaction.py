@@ -1,11 +1,15 @@
 import random
+import time
+import zlib
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from chronoframe import codec
+from chronoframe.files import folder_name
 from chronoframe.operators import compaction as cp
-from chronoframe.operators.blobs import BrokenFile, Joiner, zstd_frames
+from chronoframe.operators.blobs import BrokenFile, Joiner, crc32_combine, zstd_frames
 from tests.makers import BASE, frame, frames_df
 
 DAY = 86400 * 10**9
@@ -43,37 +47,80 @@ def test_ledger_is_exact(spark, seed, monkeypatch):
             raws += [(stream, f"copy{k}", r) for r in rng.sample(own, rng.randint(1, len(own)))]
     names = sorted({r[1] for r in raws})
     ids = {n: i for n, i in zip(names, rng.sample(range(1000), len(names)))}
-    ledger = cp.fold_ledger(frames_df(spark, raws).withColumn("extra", F.lit(1)), _files(spark, ids), limit=200)
-    rows = ledger.collect()
+    f = frames_df(spark, raws).withColumn("extra", F.lit(1)).withColumn("day", F.lit("x"))
+    manifest = cp.fold_frames(f.repartition(3) if seed == 2 else f, _files(spark, ids), limit=200)
+    rows = cp.folded_files(manifest).collect()
     assert {(r.file_id, r.stream_name) for r in rows} == _brute(raws, ids, 200)
-    assert len(rows) == len({r.file_id for r in rows}) and all(r.length_ok for r in rows)
-
-
-def test_ledger_nulls_and_empty(spark):
-    f = frames_df(spark, [("s", "a", frame(BASE)), ("s", "b", frame(BASE + 8)), (None, "c", frame(BASE)), (None, "d", frame(BASE + 8))])
-    f = f.unionByName(f.limit(2).withColumn("source_id", F.lit(None).cast("string"))).unionByName(f.limit(1).withColumn("raw", F.lit(None).cast("binary")))
-    got = {(r.source_id, r.stream_name, r.file_id) for r in cp.fold_ledger(f, _files(spark, {"a": 1, "b": 2, "c": 3})).collect()}
-    assert got == {("a", "s", 1), ("b", "s", 2), ("c", None, 3), ("d", None, None)}
-    assert cp.fold_ledger(f.where("false"), _files(spark, {"a": 1})).count() == 0
-    assert cp.pack_frames(f.where("false")).count() == 0
-
-
-def test_packs_hold_every_frame_once(spark, tmp_path):
+    assert len(rows) == len({r.file_id for r in rows})
+    _holds_all(manifest, raws)
+
+
+def _holds_all(manifest, raws):
+    """Every distinct frame of a stream's day lies in its packs once, at the stated lengths and checksums."""
+    got = {}
+    for m in cp.packs(manifest).collect():
+        data = open(m.path.removeprefix("file:"), "rb").read()
+        assert (m.n_bytes, m.crc32) == (len(data), zlib.crc32(data))
+        here = [row["raw"] for row, _ in codec.walk(data)]
+        assert m.n_frames == len(here)
+        got.setdefault((m.stream_name, m.file_day), []).extend(here)
+    want = {}
+    for stream, _, raw in raws:
+        want.setdefault((stream, time.strftime("%Y/%m/%d", time.gmtime((int.from_bytes(raw[:8], "little") & ~7) // 10**9))), set()).add(raw)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_nulls_repeats_and_empty(spark):
+    raws = [("s", "a", frame(BASE)), ("s", "b", frame(BASE + 8)), (None, "c", frame(BASE)), (None, "d", frame(BASE + 8))]
+    f = frames_df(spark, raws)
+    more = f.unionByName(f.limit(2).withColumn("source_id", F.lit(None).cast("string"))).unionByName(f.limit(1).withColumn("raw", F.lit(None).cast("binary"))).unionByName(f.limit(1).withColumn("seq", F.lit(None).cast("long")))
+    for table in (more, more.unionByName(f)):
+        manifest = cp.fold_frames(table, _files(spark, {"a": 1, "b": 2, "c": 3}))
+        assert {(r.source_id, r.stream_name, r.file_id) for r in manifest.where("fold").collect()} == {("a", "s", 1), ("b", "s", 2), ("c", None, 3), ("d", None, None)}
+        _holds_all(manifest, raws)
+    assert cp.fold_frames(f.where("false"), _files(spark, {"a": 1})).count() == 0
+
+
+def test_streams_keep_their_folders(spark, tmp_path):
+    names = ["a/b", "a_b", "_", "%", "a%2Fb", "", "..", None, "x" * 300, "\u00fc"]
+    raws = [(n, f"{i}{k}", frame(BASE + 16 * i + 8 * k, 2, 1.0)) for i, n in enumerate(names) for k in range(2)]
+    manifest = cp.fold_frames(frames_df(spark, raws), _files(spark, {}), str(tmp_path / "out"))
+    _holds_all(manifest, raws)
+    assert cp.packs(manifest).select("path").distinct().count() == len(names) == len({folder_name(n) for n in names})
+    with pytest.raises(FileExistsError):
+        cp.fold_frames(frames_df(spark, raws), _files(spark, {}), str(tmp_path / "out"))
+
+
+def test_large_files_and_packs(spark, tmp_path, monkeypatch):
+    """Files of several chunks and segments, frames held by large and small ones, packs of about the stated size."""
+    monkeypatch.setattr(cp, "CHUNK_FRAMES", 16)
+    monkeypatch.setattr(cp, "SEGMENT_BYTES", 200)
+    monkeypatch.setattr(cp, "BLOCK_KEYS", 50)
     rng = random.Random(2)
     raws = [(rng.choice("ab"), f"f{rng.randrange(9)}", frame(BASE + rng.randrange(300) * 8, 13, payload=bytes([rng.randrange(3)]) * rng.randrange(30))) for _ in range(500)]
     raws = [(s, f"{s}{f}", r) for s, f, r in raws]
-    manifest = cp.pack_frames(frames_df(spark, raws), str(tmp_path), pack_bytes=2000).collect()
-    for stream in "ab":
-        packs = sorted((m for m in manifest if m.stream_name == stream), key=lambda m: m.pack)
-        data = b"".join(open(m.path, "rb").read() for m in packs)
-        from chronoframe import codec
-
-        got = [row["raw"] for row, _ in codec.walk(data)]
-        want = {r for s, _, r in raws if s == stream}
-        assert len(got) == len(want) and set(got) == want
-        assert sum(m.n_bytes for m in packs) == len(data) and sum(m.n_frames for m in packs) == len(got)
-        assert [int.from_bytes(r[:8], "little") for r in got] == sorted(int.from_bytes(r[:8], "little") for r in got)
-    assert [(m.stream_name, m.pack, m.crc32) for m in cp.pack_frames(frames_df(spark, raws), None, 2000).orderBy("stream_name", "pack").collect()] == sorted((m.stream_name, m.pack, m.crc32) for m in manifest)
+    raws += [("a", "small", raws[k][2]) for k in range(500) if raws[k][:2] == ("a", "af0")][:3]
+    manifest = cp.fold_frames(frames_df(spark, raws), _files(spark, {"small": 1}), str(tmp_path / "out"), limit=150, pack_bytes=2000)
+    _holds_all(manifest, raws)
+    assert manifest.where("fold").count() == 0 and cp.packs(manifest).count() > 4
+    assert manifest.where("source_id is not null").agg(F.sum("n_in"), F.sum("n_out")).collect()[0] == (len(raws), cp.packs(manifest).agg(F.sum("n_frames")).collect()[0][0])
+
+
+def test_damage_is_seen(spark, tmp_path, monkeypatch):
+    f = frames_df(spark, [("s", "a", frame(BASE)), ("s", "b", frame(BASE + 8, 2, 1.0))])
+    monkeypatch.setattr(cp, "crc32_combine", lambda *a: 7)
+    cp.fold_frames(f, _files(spark, {}), str(tmp_path / "one"))  # single segments need no combining
+    pieces = cp.file_pieces(f, _files(spark, {})).withColumn("crc", F.col("crc") + 1)
+    monkeypatch.setattr(cp, "file_pieces", lambda *a: pieces)
+    with pytest.raises(Exception, match="BrokenFile|checksum"):
+        cp.fold_frames(f, _files(spark, {}), str(tmp_path / "two"))
+
+
+def test_crc_of_joined_pieces():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 9, 1000, 70000):
+        a, b = rng.randbytes(n * 3 % 71), rng.randbytes(n)
+        assert crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
 def test_lines_and_headers():
