@@ -1,7 +1,8 @@
 """Deeply nested payloads into flat tables by adjacency-table shredding.
 
-Every value of a document becomes a node row: node, parent, label, ordinal and scalar. Object nodes joined with
-their scalar children and pivoted give entity tables whose rows name their parent.
+Every value of a document becomes a node row: node, parent, label, ordinal and scalar. Object nodes joined with the
+object that encloses them and with their scalar children give entity rows, which pivot into entity tables whose rows
+name their parent. A document's nodes always come in one piece, so these joins need no shuffle.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EVTNUM_VALUES = 1 << 21
+from chronoframe.schema import EVTNUM_MAX, EVTNUM_MIN
+
 NODE_SCHEMA = (
-    "source_id string, seq long, node_id long, parent_id long, label string, ordinal long, kind string, scalar string, "
-    "node_path string, parent_path string, depth int"
+    "source_id string, seq long, node_id long, parent_id long, owner_id long, label string, ordinal long, kind string, "
+    "scalar string, step string, general_step string"
 )
+ENTITY_SCHEMA = "source_id string, seq long, node_path string, parent_path string, path string, members map<string,string>"
 OBJECT, ARRAY, STRING, NUMBER, BOOLEAN, NULL = "object", "array", "string", "number", "boolean", "null"
 
 
@@ -167,9 +172,13 @@ _FIXED = {
 }
 
 
-def parse_msgpack(data: bytes):
-    """One whole msgpack value, any depth. Extension values and binaries become hexadecimal strings; member names
-    that are not strings become their text."""
+def _hex(kind: str, code: int, data: bytes):
+    return data.hex()
+
+
+def parse_msgpack(data: bytes, opaque=_hex):
+    """One whole msgpack value, any depth. Binaries and extension values become what ``opaque(kind, type, bytes)`` gives,
+    by default hexadecimal strings; member names that are not strings become their text."""
     root: list = []
     stack: list[list] = [[root, 1, None]]  # container, items to come, name waiting for its value
     i, size = 0, len(data)
@@ -185,7 +194,7 @@ def parse_msgpack(data: bytes):
                 i = start + value
                 if i > size:
                     raise Invalid("ends inside a value")
-                value = data[start:i].decode("utf-8") if kind == "str" else data[start:i].hex()
+                value = data[start:i].decode("utf-8") if kind == "str" else opaque(kind, data[start - 1] if kind == "ext" else 0, data[start:i])
             elif kind == "num":
                 value = Num(json.dumps(value))
             is_name = isinstance(box, dict) and name is None
@@ -219,133 +228,222 @@ def parse_msgpack(data: bytes):
 PARSERS = {"json": parse_json, "msgpack": parse_msgpack}
 
 
-def nodes(value, scalars: bool = True) -> Iterator[tuple]:
-    """(node_id, parent_id, label, ordinal, kind, scalar, path, path of the nearest enclosing object, depth) of every
-    value, parents before children. Paths are JSON Pointers (RFC 6901). ``scalars=False`` leaves out the leaves."""
-    stack = [(value, None, None, None, "", "", 0)]
+def _step(name: str) -> str:
+    return "/" + (name.replace("~", "~0").replace("/", "~1") if "~" in name or "/" in name else name)
+
+
+def nodes(value) -> Iterator[tuple]:
+    """(node, parent, owner, label, ordinal, kind, scalar, step, general step) of every value, parents before children.
+    The owner is the nearest enclosing object. Only objects have a step: their JSON Pointer (RFC 6901) from their owner,
+    or the root; array indexes are ``*`` in the general one. Pointers are joined from steps, never kept per node."""
+    stack = [(value, None, None, None, None, "", "")]
     n = 0
     while stack:
-        x, parent, label, ordinal, path, above, depth = stack.pop()
+        x, parent, owner, label, ordinal, step, general = stack.pop()
         me, n = n, n + 1
         if isinstance(x, dict):
-            yield me, parent, label, ordinal, OBJECT, None, path, above, depth
+            yield me, parent, owner, label, ordinal, OBJECT, None, step, general
             new = []
             for i, (k, y) in enumerate(x.items()):
-                if scalars or isinstance(y, (dict, list)):
-                    step = k.replace("~", "~0").replace("/", "~1") if "~" in k or "/" in k else k
-                    new.append((y, me, k, i, f"{path}/{step}", path, depth + 1))
+                below = _step(k) if isinstance(y, (dict, list)) else ""
+                new.append((y, me, me, k, i, below, below))
             stack.extend(reversed(new))
         elif isinstance(x, list):
-            yield me, parent, label, ordinal, ARRAY, None, path, above, depth
-            stack.extend([(y, me, str(i), i, f"{path}/{i}", above, depth + 1) for i, y in enumerate(x) if scalars or isinstance(y, (dict, list))][::-1])
+            yield me, parent, owner, label, ordinal, ARRAY, None, None, None
+            general += "/*"
+            stack.extend([(y, me, owner, str(i), i, f"{step}/{i}" if isinstance(y, (dict, list)) else "", general) for i, y in enumerate(x)][::-1])
         elif x is None:
-            yield me, parent, label, ordinal, NULL, None, path, above, depth
+            yield me, parent, owner, label, ordinal, NULL, None, None, None
         elif x is True or x is False:
-            yield me, parent, label, ordinal, BOOLEAN, "true" if x else "false", path, above, depth
+            yield me, parent, owner, label, ordinal, BOOLEAN, "true" if x else "false", None, None
         else:
-            yield me, parent, label, ordinal, NUMBER if isinstance(x, Num) else STRING, str(x), path, above, depth
+            yield me, parent, owner, label, ordinal, NUMBER if isinstance(x, Num) else STRING, str(x), None, None
 
 
-def _texts(values: list) -> pa.Array:
+def _texts(values) -> pa.Array:
     try:
         return pa.array(values, pa.string())
     except UnicodeEncodeError:  # lone surrogates, which \u escapes can spell
         return pa.array([None if x is None else x.encode("utf-8", "replace").decode() for x in values], pa.string())
 
 
-_NODE_TYPES = {"node_id": pa.int64(), "parent_id": pa.int64(), "label": pa.string(), "ordinal": pa.int64(), "kind": pa.string(), "scalar": pa.string(), "node_path": pa.string(), "parent_path": pa.string(), "depth": pa.int32()}
+_NODE_TYPES = {
+    "node_id": pa.int64(), "parent_id": pa.int64(), "owner_id": pa.int64(), "label": pa.string(), "ordinal": pa.int64(), "kind": pa.string(),
+    "scalar": pa.string(), "step": pa.string(), "general_step": pa.string(),
+}
 BATCH_NODES = 50_000
+BATCH_BYTES = 8 << 20
 
 
-def _shredder(scalars: bool):
+def _shredder(encodings: Encodings):
+    """Kernel: payloads to node rows. A document's nodes are in one batch; a batch ends after the document that fills it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where: list[tuple] = []
         rows: list[tuple] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*rows)) if rows else [[]] * len(_NODE_TYPES)
             arrays = [_texts(c) if t == pa.string() else pa.array(c, t) for c, t in zip(cols, _NODE_TYPES.values())]
-            place = list(zip(*where)) if where else [[], []]
-            out = pa.RecordBatch.from_arrays([pa.array(place[0], pa.string()), pa.array(place[1], pa.int64()), *arrays], ["source_id", "seq", *_NODE_TYPES])
+            source, seq, count = list(zip(*where)) if where else [[], [], []]
+            of = pa.array(np.repeat(np.arange(len(count)), count))
+            place = [pa.array(source, pa.string()).take(of), pa.array(seq, pa.int64()).take(of)]
             rows.clear()
             where.clear()
-            return out
+            return pa.RecordBatch.from_arrays([*place, *arrays], ["source_id", "seq", *_NODE_TYPES])
 
         for batch in batches:
-            for source, seq, payload, encoding in zip(*(batch.column(c).to_pylist() for c in ("source_id", "seq", "payload", "encoding"))):
+            for source, seq, payload, parser in zip(*(batch.column(c).to_pylist() for c in ("source_id", "seq", "payload")), encodings.parsers(batch.column("evtnum"))):
+                if parser is None:
+                    continue
                 try:
-                    value = PARSERS[encoding](payload)
+                    value = parser(payload)
                 except Invalid:
                     continue
-                for node in nodes(value, scalars):
-                    rows.append(node)
-                    where.append((source, seq))
-                    if len(rows) >= BATCH_NODES:
-                        yield flush()
+                before = len(rows)
+                rows.extend(nodes(value))
+                where.append((source, seq, len(rows) - before))
+                held += len(payload)
+                if len(rows) >= BATCH_NODES or held >= BATCH_BYTES:
+                    yield flush()
+                    held = 0
         yield flush()
 
     return run
 
 
-def payload_encoding(frames: DataFrame, registry: DataFrame) -> DataFrame:
-    """``frames`` with the ``encoding`` the registry gives their EVTNUM (the narrowest range wins).
+def _paths(owner: list[int], objects: list[int], step: list[str]) -> Iterator[tuple[str, str]]:
+    """(path, path of the enclosing object) of each object, in order. In this order an object's owner lies on the path
+    just before it, so only lengths are kept."""
+    length: dict[int, int] = {}
+    current = ""
+    for o, me, s in zip(owner, objects, step):
+        above = current[: length[o]] if o is not None else ""
+        current = above + s
+        length[me] = len(current)
+        yield current, above
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel over node rows: objects joined with their owner's path and with their scalar children, by node."""
+    names = [f.split(" ")[0] for f in ENTITY_SCHEMA.split(", ")]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch.column("node_id").to_numpy()
+        start = np.maximum.accumulate(np.where(node == 0, np.arange(len(node)), 0))
+        kind = batch.column("kind")
+        is_object = pc.equal(kind, OBJECT).to_numpy(zero_copy_only=False)
+        is_leaf = ~is_object & pc.not_equal(kind, ARRAY).to_numpy(zero_copy_only=False)
+        parent = batch.column("parent_id").fill_null(-1).to_numpy()
+        above = np.where(parent >= 0, start + parent, -1)
+        leaves = np.flatnonzero(is_leaf & (above >= 0))
+        leaves = leaves[is_object[above[leaves]]]
+        leaves = leaves[np.argsort(above[leaves], kind="stable")]
+        if pc.any(pc.match_substring(batch.column("label"), "?")).as_py():  # names of lone surrogates may be one text now; the last counts
+            label = batch.column("label").to_pylist()
+            leaves = np.array(sorted({(int(above[i]), label[i]): int(i) for i in leaves}.values(), key=lambda i: (above[i], i)), np.int64)
+        objects = np.flatnonzero(is_object)
+        upto = np.searchsorted(above[leaves], objects, side="right")
+        below = np.searchsorted(above[leaves], objects, side="left")
+        owner = batch.column("owner_id").take(pa.array(objects)).to_pylist()
+        at = start[objects].tolist()
+        own = [None if o is None else s + o for o, s in zip(owner, at)]
+        step, general = (batch.column(c).take(pa.array(objects)).to_pylist() for c in ("step", "general_step"))
+        first, held, path, parent_path, shape = 0, 0, [], [], []
+        places = objects.tolist()
+        for i, ((p, a), (g, _)) in enumerate(zip(_paths(own, places, step), _paths(own, places, general))):
+            path.append(p)
+            parent_path.append(a)
+            shape.append(g)
+            held += len(p) + len(a) + len(g)
+            if held >= BATCH_BYTES or i == len(places) - 1:
+                some = pa.array(objects[first : i + 1])
+                inside = pa.array(leaves[below[first] : upto[i]])
+                offsets = pa.array(np.append(below[first : i + 1], upto[i]) - below[first], pa.int32())
+                members = pa.MapArray.from_arrays(offsets, batch.column("label").take(inside), batch.column("scalar").take(inside))
+                yield pa.RecordBatch.from_arrays([batch.column("source_id").take(some), batch.column("seq").take(some), pa.array(path, pa.string()), pa.array(parent_path, pa.string()), pa.array(shape, pa.string()), members], names)
+                first, held, path, parent_path, shape = i + 1, 0, [], [], []
+
+
+class Encodings:
+    """What the registry says about each event number: an index per number of the 21-bit range, so of fixed size however
+    many ranges there are. The narrowest range that holds a number wins."""
+
+    def __init__(self, registry: DataFrame) -> None:
+        size = EVTNUM_MAX - EVTNUM_MIN + 1
+        self.names: list[str | None] = [None]
+        self.code = np.zeros(size, np.int16)
+        width = np.full(size, np.iinfo(np.int64).max)
+        known = registry.where("evtnum_from is not null and evtnum_to is not null and encoding is not null and evtnum_from <= evtnum_to")
+        low, high = F.greatest("evtnum_from", F.lit(EVTNUM_MIN)).cast("long"), F.least("evtnum_to", F.lit(EVTNUM_MAX)).cast("long")
+        name = F.when(F.col("encoding").isin(*PARSERS), F.col("encoding")).otherwise("")
+        ranges = known.groupBy(low.alias("low"), high.alias("high")).agg(F.max(name).alias("name")).where("low <= high")
+        for r in ranges.toLocalIterator():
+            if r.name not in self.names:
+                self.names.append(r.name)
+            spot = slice(r.low - EVTNUM_MIN, r.high - EVTNUM_MIN + 1)
+            narrower = width[spot] > r.high - r.low
+            self.code[spot][narrower] = self.names.index(r.name)
+            width[spot][narrower] = r.high - r.low
+
+    def parsers(self, evtnum: pa.Array) -> list:
+        by_code = [PARSERS.get(n) for n in self.names]
+        e = evtnum.fill_null(EVTNUM_MIN - 1).to_numpy()
+        inside = (e >= EVTNUM_MIN) & (e <= EVTNUM_MAX)
+        return [by_code[c] for c in np.where(inside, self.code[np.where(inside, e - EVTNUM_MIN, 0)], 0).tolist()]
+
+    def reach(self, column: str = "evtnum") -> Column:
+        """A filter the scan can use: the stretches of numbers that have a parser, or all between them if there are many."""
+        has = np.isin(self.code, [i for i, n in enumerate(self.names) if n in PARSERS])
+        turn = np.flatnonzero(np.diff(has.astype(np.int8), prepend=0, append=0)) + EVTNUM_MIN
+        pairs = list(zip(turn[::2].tolist(), (turn[1::2] - 1).tolist()))
+        if len(pairs) > 32:
+            pairs = [(pairs[0][0], pairs[-1][1])]
+        c = F.lit(False)
+        for a, b in pairs:
+            c = c | F.col(column).between(a, b)
+        return c
+
+
+def _payloads(frames: DataFrame, registry: DataFrame) -> tuple[DataFrame, Encodings]:
+    encodings = Encodings(registry)
+    log = frames.where("pti = 7 and payload is not null").where(encodings.reach())
+    return log.select("source_id", "seq", "payload", "evtnum"), encodings
+
+
+def shred(frames: DataFrame, registry: DataFrame) -> DataFrame:
+    """The node table of every stored log frame (pti 7) whose payload the registry calls json or msgpack: source_id,
+    seq, node_id, parent_id, owner_id (the nearest enclosing object), label, ordinal, kind, scalar, step.
 
-    The registry holds ranges of a 21-bit number, so it is bounded; it is read to build one CASE, which keeps the
-    lookup a map-side expression and lets its ranges reach the scan as filters."""
-    ranges = registry.where("evtnum_from is not null and evtnum_to is not null and encoding is not null").select("evtnum_from", "evtnum_to", "encoding").distinct().limit(EVTNUM_VALUES).collect()
-    case = F.lit(None).cast("string")
-    for r in sorted(ranges, key=lambda r: (r.evtnum_from - r.evtnum_to, r.evtnum_from, r.encoding)):
-        case = F.when(F.col("evtnum").between(r.evtnum_from, r.evtnum_to), r.encoding).otherwise(case)
-    reach = F.lit(False)
-    for r in ranges:
-        if r.encoding in PARSERS:
-            reach = reach | F.col("evtnum").between(r.evtnum_from, r.evtnum_to)
-    return frames.where(reach).withColumn("encoding", case)
+    A payload that is null, damaged or followed by other bytes gives no node. Repeated frames give repeated nodes
+    under their own (source_id, seq); of members named twice the last counts. Map-side only, no shuffle."""
+    log, encodings = _payloads(frames, registry)
+    return log.mapInArrow(_shredder(encodings), NODE_SCHEMA)
 
 
-def shred(frames: DataFrame, registry: DataFrame, scalars: bool = True) -> DataFrame:
-    """The node table of every stored log frame (pti 7) whose payload the registry calls json or msgpack.
+def all_entities(frames: DataFrame, registry: DataFrame) -> DataFrame:
+    """One entity row per object of every payload, the root too: source_id, seq, node_path, parent_path (of the nearest
+    enclosing object, '' for the root or none), its general ``path`` (array indexes as ``*``) and ``members``, its scalar
+    members as a map of texts. Null members have a null text; a member that is an object has its own rows, one that is
+    an array none.
 
-    A payload that is null, damaged or followed by other bytes gives no node. Repeated frames give repeated nodes
-    under their own (source_id, seq); of members named twice the last counts. Map-side only, no shuffle."""
-    log = payload_encoding(frames.where("pti = 7 and payload is not null"), registry)
-    log = log.where(F.col("encoding").isin(*PARSERS)).select("source_id", "seq", "payload", "encoding")
-    return log.mapInArrow(_shredder(scalars), NODE_SCHEMA)
+    The node table of `shred` is joined with itself where it arises: child objects with their owners, objects with their
+    scalar children, by node. One pass, no shuffle."""
+    log, encodings = _payloads(frames, registry)
+    shredded = _shredder(encodings)
+    return log.mapInArrow(lambda batches: _joined(shredded(batches)), ENTITY_SCHEMA)
 
 
-def child_objects(node_table: DataFrame) -> DataFrame:
+def child_objects(entity_rows: DataFrame) -> DataFrame:
     """Every object below a root and the nearest object that encloses it."""
-    return node_table.where((F.col("kind") == OBJECT) & (F.col("depth") > 0)).select("source_id", "seq", "node_path", "parent_path")
+    return entity_rows.where("node_path <> ''").select("source_id", "seq", "node_path", "parent_path")
 
 
-def entities(node_table: DataFrame, path: str, members: list[str]) -> DataFrame:
-    """The entity table of the objects at ``path`` (array indexes written as ``*``; '' is the root): source_id, seq,
-    node_path, parent_path and one text column per name in ``members``. Absent and null members are null; a member
+def entities(entity_rows: DataFrame, path: str, members: list[str]) -> DataFrame:
+    """The entity table of the objects at ``path`` (array indexes written as ``*``; '' is the root), pivoted: source_id,
+    seq, node_path, parent_path and one text column per name in ``members``. Absent and null members are null; a member
     that is an object or array has its own table and is null here."""
-    general = F.regexp_replace("node_path", "/[0-9]+(?=/|$)", "/*")
-    key = ["source_id", "seq", "node_id"]
-    objects = node_table.where((F.col("kind") == OBJECT) & (general == path)).select(*key, "node_path", "parent_path")
-    leaves = node_table.where(F.col("label").isin(members) & ~F.col("kind").isin(OBJECT, ARRAY)).select("source_id", "seq", F.col("parent_id").alias("node_id"), "label", "scalar")
-    joined = objects.join(leaves, key, "left").groupBy(*key, "node_path", "parent_path")
-    return joined.agg(*(F.max(F.when(F.col("label") == m, F.col("scalar"))).alias(m) for m in members)).drop("node_id")
-
-
-def all_entities(node_table: DataFrame) -> DataFrame:
-    """One entity row per object, the root too: source_id, seq, node_path, parent_path, its general ``path`` (as in
-    `entities`; a member name of digits counts as an index) and ``members``, its scalar members as a map of
-    texts. Null members have a null text; a member that is an object has its own row, one that is an array none.
-
-    Scalars meet their object by (source_id, seq, node), combined before the only shuffle."""
-    is_object = F.col("kind") == OBJECT
-    rows = node_table.where(F.col("kind") != ARRAY)
-    owner = F.when(is_object, F.col("node_id")).otherwise(F.col("parent_id"))
-    scalar = F.when(~is_object, F.struct("ordinal", "label", "scalar"))
-    by = rows.select("source_id", "seq", owner.alias("owner"), F.when(is_object, F.struct("node_path", "parent_path")).alias("place"), scalar.alias("member")).groupBy("source_id", "seq", "owner")
-    found = by.agg(F.max("place").alias("place"), F.array_sort(F.collect_list("member")).alias("m")).where("place is not null")  # else the scalars of an array
-    entries = F.transform("m", lambda x: F.struct(x["label"].alias("k"), x["scalar"].alias("v")))
-    names = F.array_distinct(F.transform("m", lambda x: x["label"]))
-    # names that only differ in lone surrogates are one text; the last counts
-    last = F.transform(names, lambda k: F.struct(k.alias("k"), F.element_at(F.filter("m", lambda x: x["label"] == k), -1)["scalar"].alias("v")))
-    members = F.map_from_entries(F.when(F.size(names) == F.size("m"), entries).otherwise(last))
-    general = F.regexp_replace("place.node_path", "/[0-9]+(?=/|$)", "/*")
-    return found.select("source_id", "seq", "place.node_path", "place.parent_path", general.alias("path"), members.alias("members"))
+    columns = [F.try_element_at("members", F.lit(m)).alias(m) for m in members]
+    return entity_rows.where(F.col("path") == path).select("source_id", "seq", "node_path", "parent_path", *columns)

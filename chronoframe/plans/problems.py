@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronoframe.operators.compaction import PACK_BYTES, fold_frames, folded_files, packs
 from chronoframe.operators.outliers import implausible
 from chronoframe.operators.regular_grid import empty_periods, regular_grid
-from chronoframe.operators.shredding import all_entities, child_objects, entities, shred
+from chronoframe.operators.shredding import all_entities, child_objects, entities
 from chronoframe.plans.tables import table
 
 
@@ -34,19 +34,23 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(spark, d, "frames"), table(spark, d, "stream_config"))
 
 
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return all_entities(table(spark, d, "frames"), table(spark, d, "evtnum_registry"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Objects below the roots of nested payloads, with the object that encloses each."""
-    return child_objects(shred(table(spark, d, "frames"), table(spark, d, "evtnum_registry"), scalars=False))
+    return child_objects(_entities(spark, d))
 
 
 def p3_spans(spark: SparkSession, d: str) -> DataFrame:
     """Entity table of the outermost spans of a log entry."""
-    return entities(shred(table(spark, d, "frames"), table(spark, d, "evtnum_registry")), "/spans/*", ["id", "name"])
+    return entities(_entities(spark, d), "/spans/*", ["id", "name"])
 
 
 def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     """An entity row for every object of every path, with its scalar members."""
-    return all_entities(shred(table(spark, d, "frames"), table(spark, d, "evtnum_registry")))
+    return _entities(spark, d)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

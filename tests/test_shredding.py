@@ -67,13 +67,19 @@ def test_shred(spark):
     f = frames_df(spark, [("s", "f", frame(BASE + i * 8, e, payload=p)) for i, (e, p) in enumerate(payloads)]).withColumn("node_path", F.lit("clash"))
     reg = spark.createDataFrame(REGISTRY, SCHEMA)
     got = {}
-    for r in sh.child_objects(sh.shred(f, reg, scalars=False)).collect():
+    for r in sh.child_objects(sh.all_entities(f, reg)).collect():
         got.setdefault(r.seq, set()).add((r.node_path, r.parent_path))
     assert got[0] == got[1] == OBJECTS
     assert got[2] == {("/0/0", ""), ("/0/0/deep", "/0/0"), ("/0/1", "")}
     assert set(got) == {0, 1, 2, 8}
-    full = sh.shred(f, reg)
-    assert sorted(map(tuple, sh.child_objects(full).collect())) == sorted(map(tuple, sh.child_objects(sh.shred(f, reg, scalars=False)).collect()))
+    full = sh.all_entities(f, reg)
+    nodes = sh.shred(f, reg)
+    tree = {(r.seq, r.node_id): r for r in nodes.collect()}
+    for r in tree.values():  # every node hangs on its parent, every owner is the nearest object above
+        up = tree.get((r.seq, r.parent_id))
+        assert (up is None) == (r.node_id == 0) and (up is None or up.kind in ("object", "array"))
+        assert r.owner_id == (None if up is None else up.node_id if up.kind == "object" else up.owner_id)
+    assert sorted(r.scalar for r in tree.values() if r.seq == 0 and r.kind == "number") == ["1", "7"]
     spans = sorted((r.seq, r.node_path, r.parent_path, r.id, r.name, r.deep) for r in sh.entities(full, "/spans/*", ["id", "name", "deep"]).collect())
     assert spans == [(s, p, "", i, n, None) for s in (0, 1) for p, i, n in (("/spans/0", "7", "n"), ("/spans/1", None, None))]
     assert sh.shred(f.where("false"), reg).count() == 0 and sh.shred(f, reg.where("false")).count() == 0
@@ -86,7 +92,7 @@ def test_entities_of_every_path(spark):
     payloads = [(14, json.dumps(DOC).encode()), (9, pack_msgpack(DOC)), (14, b'[1,[2],{"b":true,"a":1.50}]'), (14, b'{"\\ud800":1,"\\ud801":2}'), (14, b"7"), (14, b"{}"), (14, b'{"a":{}')]
     f = frames_df(spark, [("s", "f", frame(BASE + i * 8, e, payload=p)) for i, (e, p) in enumerate(payloads)])
     got = {}
-    for r in sh.all_entities(sh.shred(f, spark.createDataFrame(REGISTRY, SCHEMA))).collect():
+    for r in sh.all_entities(f, spark.createDataFrame(REGISTRY, SCHEMA)).collect():
         assert r.node_path not in got.setdefault(r.seq, {})
         got[r.seq][r.node_path] = (r.parent_path, r.path, r.members)
     assert {(k, v[0]) for k, v in got[0].items()} == OBJECTS | {("", "")} and got[0] == got[1]
@@ -95,3 +101,28 @@ def test_entities_of_every_path(spark):
     assert got[0]["/spans/0"][1:] == ("/spans/*", {"id": "7", "name": "n"}) and got[0]["/spans/1"][2] == {"id": None}
     assert got[2] == {"/2": ("", "/*", {"b": "true", "a": "1.50"})} and got[3] == {"": ("", "", {"?": "2"})} and got[5] == {"": ("", "", {})}
     assert set(got) == {0, 1, 2, 3, 5}
+
+
+def test_digits_as_member_names(spark):
+    """A member called 1 is no index."""
+    doc = {"spans": {"1": {"id": "x"}}, "1": [{"2": {"id": "y"}}]}
+    f = frames_df(spark, [("s", "f", frame(BASE, 14, payload=json.dumps(doc).encode()))])
+    rows = sh.all_entities(f, spark.createDataFrame(REGISTRY, SCHEMA))
+    assert sh.entities(rows, "/spans/*", ["id"]).count() == 0
+    assert [tuple(r) for r in sh.entities(rows, "/1/*/2", ["id", "none"]).collect()] == [("f", 0, "/1/0/2", "/1/0", "y", None)]
+
+
+def test_nested_arrays_and_long_chains(spark):
+    payloads = [b"[" * 20_000 + b"{}" + b"]" * 20_000, b'{"a":' * 3000 + b"{}" + b"}" * 3000]
+    f = frames_df(spark, [("s", "f", frame(BASE + 8 * i, 14, payload=p)) for i, p in enumerate(payloads)])
+    rows = sh.child_objects(sh.all_entities(f, spark.createDataFrame(REGISTRY, SCHEMA)))
+    assert rows.selectExpr("max(length(node_path))", "count(*)").collect()[0] == (40_000, 3001)
+    assert rows.where("seq = 1 and node_path <> parent_path || '/a'").count() == 0
+
+
+def test_registry_of_many_ranges(spark):
+    ranges = spark.range(100_000).selectExpr("cast(id * 8 as int) evtnum_from", "cast(id * 8 + id % 7 as int) evtnum_to", "'x' label", "if(id % 2 = 0, 'json', 'opaque') encoding")
+    wide = spark.createDataFrame([(-5, 9, "w", "json"), (None, 3, "n", "json"), (2, 1, "n", "json"), (-(1 << 30), 1 << 30, "w", "opaque")], SCHEMA)
+    f = frames_df(spark, [("s", "f", frame(BASE + e * 8, e, payload=b'{"a":{}}')) for e in (7, 8, 16, 17, 24, 800_000 - 16, 800_000 - 8, -3, -6)])
+    got = {r.seq for r in sh.child_objects(sh.all_entities(f, ranges.unionByName(wide).unionByName(wide))).collect()}
+    assert got == {0, 2, 3, 5, 7}
