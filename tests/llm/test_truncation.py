@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -78,12 +79,12 @@ def _lengths(n, limit, strays):
 def test_limit_under_many_strays():
     strays = [240 + 20 * i for i in range(12)]
     gain, limit, posterior = tr.source_limit(*_lengths(8000, 220, strays))
-    assert limit == 220 and gain > 1000 and min(posterior[x] for x in (218, 219, 220)) > tr.SURE and max(posterior) == 220
+    assert limit == 220 and gain > 1000 and min(posterior[x] for x in (218, 219, 220)) > 0.9 and max(posterior) == 220
 
 
 def test_every_limit_that_gains_counts():
     _, limit, posterior = tr.source_limit(*_lengths(8000, 220, [400] * 12))
-    assert limit == 220 and posterior[220] > tr.SURE and posterior[400] > tr.CERTAIN
+    assert limit == 220 and posterior[220] > 0.9 and posterior[400] > 0.5
 
 
 def test_no_limit_in_the_tail_of_a_large_source():
@@ -102,3 +103,34 @@ def test_nulls_repeats_long_and_empty(spark):
     assert [tuple(r) for r in tr.truncated(df).collect()] == [(1, None)]
     assert tr.truncated(df.where("false")).count() == 0 and tr.truncation_rates(df.where("false")).count() == 0
     assert {(r.source, r.n_texts, r.n_cut) for r in tr.truncation_rates(df).collect()} == {(None, 3, 2)}
+
+
+@pytest.mark.parametrize("part", ["-", " ", ".", "(", "a", "\u2014 ", "<a", '. "', "<|a|>", "\u2026", "[ ", "\u3002", "\u00e9\u0301", "\u00a0", ". "])
+def test_endings_of_very_long_runs(part):
+    """Linear in the length, whatever runs the end, the start or all of a text."""
+    begin = time.perf_counter()
+    for text in ("It is whole. " + part * 1_000_000, part * 1_000_000 + " and the", part * 1_000_000):
+        tr.ending(text)
+    assert time.perf_counter() - begin < 30
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [("It is whole.", "sound"), ("\u201cIt is.\u201d ", "sound"), ("It is wh", "open"), ("It is\u2026", "mark"), ("It is [...]", "mark"), ("It is (..)", "mark"), ("It is ..", "sound"),
+     ("It is. [...]", "sound"), ("It is:", "line"), ("It is. // --", "noise"), ("It is. <br> [END]", "noise"), ("It is. \u201c", "noise"), ("It is \ufffd", "open"), ("\u6771\u4eac\u3002", "sound"), ("Is it <b>", "open")],
+)
+def test_ending_kinds(text, kind):
+    assert tr.ending(text)[0] == kind
+
+
+def test_limit_of_a_part_of_a_source():
+    """Two pipelines of one source, only one of which stops at 220."""
+    a, b = _lengths(8000, 220, []), _lengths(2000, None, [])
+    table = {}
+    for at, n, k in (a, b):
+        for x, i, j in zip(at.tolist(), n.tolist(), k.tolist()):
+            c = table.setdefault(x, [0, 0])
+            c[0], c[1] = c[0] + i, c[1] + j
+    at = np.array(sorted(table))
+    _, limit, posterior = tr.source_limit(at, np.array([table[x][0] for x in at]), np.array([table[x][1] for x in at]))
+    assert limit == 220 and posterior[220] > 0.9
