@@ -50,3 +50,26 @@ def test_long_texts_at_the_production_chunk(spark):
     assert max(map(len, texts)) > 3 * tk.CHUNK_CHARS
     got = {r.doc_id: r.ids for r in tk.encode_corpus(df).select("doc_id", "ids").collect()}
     assert got == dict(enumerate(_reference(texts)))
+
+
+@pytest.mark.parametrize("block,block_overlap", [(64, 16), (200, 40)])
+def test_texts_of_many_blocks(spark, block, block_overlap):
+    """Blocks that fall into step, that never do (runs without a boundary), and repeats of a text."""
+    rng = random.Random(7)
+    mixed = lambda n: "".join(rng.choice(["a", "Bc", " ", "'s", "1", "\u00e9", "\n", "\u6771\u4eac", ".", "'ll"]) for _ in range(n))
+    texts = [mixed(900), "x" * 1000, " " * 1000 + "y", "\u6771" * 700 + mixed(300) + "z" * 600 + mixed(50), "'" * 500, mixed(block), mixed(block + 1)] + [mixed(150) + rng.choice("x1 '") * rng.randrange(500) + mixed(150) for _ in range(20)]
+    rows = [*enumerate(texts), (0, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = tk.encode_corpus(df, chunk=16, overlap=8, block=block, block_overlap=block_overlap).collect()
+    want = dict(enumerate(_reference(texts)))
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.ids == want[r.doc_id], (r.doc_id, texts[r.doc_id])
+
+
+def test_chunks_are_stitched():
+    """Nearly every chunk of an ordinary text gives a cut; one long run gives none, in few passes."""
+    text = "The miller moved the wooden boats. " * 300
+    cuts, _ = tk.stitch(text)
+    assert len(cuts) == -(-len(text) // tk.CHUNK_CHARS) and set(cuts) <= set(tk.pre_token_starts(text))
+    assert tk.stitch("x" * 200_000)[0] == [0]
