@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoframe import codec
-from chronoframe.schema import EVTNUM_MAX, EVTNUM_MIN, FRAME_SCHEMA, MAX_PAYLOAD, PTI_UDE, UCOUNT_BITS, UCOUNT_MASK
+from chronoframe import codec, vectors
+from chronoframe.schema import EVTNUM_MAX, EVTNUM_MIN, FRAME_SCHEMA, MAX_PAYLOAD, PTI_UDE
 
 # The printed names of the event numbers.
 EVTNUM_NAMES = {
@@ -27,18 +26,6 @@ def prim(tm: Column, pti: Column) -> Column:
     return prim_time(tm).bitwiseOR(pti.cast("long"))
 
 
-def ude(evtnum: Column, ucount: Column) -> Column:
-    return F.shiftleft(evtnum.cast("long"), UCOUNT_BITS).bitwiseOR(ucount)
-
-
-def ude_evtnum(word: Column) -> Column:
-    return F.shiftright(word, UCOUNT_BITS).cast("int")
-
-
-def ude_ucount(word: Column) -> Column:
-    return word.bitwiseAND(F.lit(UCOUNT_MASK))
-
-
 def pti_of(evtnum: Column) -> Column:
     return F.when(evtnum.between(0, PTI_UDE - 1), evtnum).otherwise(PTI_UDE).cast("tinyint")
 
@@ -58,6 +45,12 @@ def get_v1(pti: Column, v1: Column) -> Column:
     return F.when(pti == 3, v1).otherwise(F.lit(0).cast("long"))
 
 
+def set_v1(frames: DataFrame, v1: Column) -> DataFrame:
+    """Frames with another v1 where they carry both numbers; the others stay as they are. ``raw`` follows."""
+    changed = frames.withColumn("v1", F.when(F.col("pti") == 3, v1.cast("long")).otherwise(F.col("v1")))
+    return changed.withColumn("raw", F.when(F.col("pti") == 3, encode_raw("tm_ns", "evtnum", "v0", "v1", "payload")).otherwise(F.col("raw")))
+
+
 def get_bool(pti: Column) -> Column:
     """Boolean streams write false as Zero and true as Null, by convention."""
     return F.when(pti == 0, False).when(pti == 4, True)
@@ -81,33 +74,29 @@ def set_time(frames: DataFrame, tm: Column) -> DataFrame:
 @F.arrow_udf(T.BinaryType())
 def encode_raw(tm: pa.Array, evtnum: pa.Array, v0: pa.Array, v1: pa.Array, payload: pa.Array) -> pa.Array:
     """Wire bytes from columns; null numbers are written as 0, NaN stays NaN."""
-    rows = zip(tm.to_pylist(), evtnum.to_pylist(), v0.fill_null(0.0).to_pylist(), v1.fill_null(0).to_pylist(), payload.to_pylist())
-    return pa.array([codec.pack(*r) for r in rows], pa.binary())
+    return vectors.encode(tm, evtnum, v0, v1, payload)
 
 
-@F.pandas_udf(T.LongType())
-def checksum64(raw: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def checksum64(raw: pa.Array) -> pa.Array:
     """The first eight bytes of the frame's BLAKE2b-512 as a number."""
-    return pd.Series([None if r is None else codec.checksum64(r) for r in raw], dtype="Int64")
+    return pa.array([None if r is None else codec.checksum64(r) for r in raw.to_pylist()], pa.int64())
 
 
-@F.pandas_udf(T.BinaryType())
-def blake2b(raw: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else codec.blake2b(r) for r in raw])
+@F.arrow_udf(T.BinaryType())
+def blake2b(raw: pa.Array) -> pa.Array:
+    return pa.array([None if r is None else codec.blake2b(r) for r in raw.to_pylist()], pa.binary())
 
 
 _DECODED = T.StructType([f for f in FRAME_SCHEMA if f.name not in ("source_id", "seq", "byte_offset")])
 
 
-_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "tinyint": pa.int8(), "double": pa.float64(), "binary": pa.binary()}
-
-
 @F.arrow_udf(_DECODED)
 def decode_raw(raw: pa.Array) -> pa.Array:
     """Columns of the frame in each BINARY value; all null for null."""
-    blank = dict.fromkeys(_DECODED.fieldNames())
-    rows = [blank if r is None else codec.unpack(r)[0] for r in raw.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([r[f.name] for r in rows], _ARROW[f.dataType.simpleString()]) for f in _DECODED], _DECODED.fieldNames())
+    names = _DECODED.fieldNames()
+    cols = vectors.decode_values(raw, names)
+    return pa.StructArray.from_arrays([cols[c] for c in names], names)
 
 
 def _checked(bad: Column, message: str, value: Column) -> Column:

@@ -7,18 +7,20 @@ import json
 import math
 from decimal import Decimal
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoframe.functions.frames import EVTNUM_NAMES
+from chronoframe.functions.frames import EVTNUM_NAMES, evtnum_name
+from chronoframe.functions.times import floor_to, utc_day, whole_div
 from chronoframe.operators.shredding import Invalid, Num, parse_msgpack
+from chronoframe.schema import SECOND_NS
 
-# Fixed values of the printed form: the word a header line starts with, and which payloads are shown.
-HEADER_WORD = "TMFRAME"
+#: The word a header line starts with, unless another is given.
+HEADER_WORD = "FRAME"
+# Fixed values of the printed form: which payloads are shown, and how.
 JSON_EVTNUM, JSON_RANGE = 14, (2000, 9999)
 MSGPACK_EVTNUMS = (9, 15)
 SCHEMA_EVTNUM = 16
@@ -111,12 +113,39 @@ def indent_json(text: str) -> str:
 
 
 def json_text(x) -> str:
-    """Canonical JSON: members sorted, no white space, numbers as they were."""
+    """Canonical JSON: members sorted, no white space, numbers as they were; null for those JSON has not."""
     if isinstance(x, dict):
         return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{json_text(x[k])}" for k in sorted(x)) + "}"
     if isinstance(x, list):
         return "[" + ",".join(map(json_text, x)) + "]"
-    return str(x) if isinstance(x, Num) else json.dumps(x, ensure_ascii=False)
+    if isinstance(x, Num):
+        return "null" if x in ("NaN", "Infinity", "-Infinity") else str(x)
+    return json.dumps(x, ensure_ascii=False)
+
+
+# The extension types that hold a time.
+TIME_EXTENSION, TIMESTAMP_EXTENSION = 1, 255
+
+
+def _shown(kind: str, code: int, data: bytes):
+    """Binaries and extension values as shown in JSON: times in nanoseconds since the epoch (type 1 as an integer, packed or
+    of eight bytes; type -1 by its three public layouts), everything else as the text of its bytes."""
+    if kind == "ext" and code == TIME_EXTENSION:
+        if len(data) == 8:
+            return Num(int.from_bytes(data, "big", signed=True))
+        try:
+            x = parse_msgpack(data)
+        except Invalid:
+            x = None
+        if isinstance(x, Num) and x.lstrip("-").isdigit():
+            return x
+    if kind == "ext" and code == TIMESTAMP_EXTENSION and len(data) in (4, 8, 12):
+        if len(data) == 8:
+            word = int.from_bytes(data, "big")
+            return Num((word & ((1 << 34) - 1)) * 10**9 + (word >> 34))
+        nanos = int.from_bytes(data[:4], "big") if len(data) == 12 else 0
+        return Num(int.from_bytes(data[-8:] if len(data) == 12 else data, "big", signed=len(data) == 12) * 10**9 + nanos)
+    return data.decode("utf-8", "replace")
 
 
 def msgpack_json(payload: bytes | None) -> str | None:
@@ -124,7 +153,7 @@ def msgpack_json(payload: bytes | None) -> str | None:
     if payload is None:
         return None
     try:
-        return json_text(parse_msgpack(payload))
+        return json_text(parse_msgpack(payload, _shown))
     except (Invalid, RecursionError):
         return None
 
@@ -135,7 +164,7 @@ def schema_json(payload: bytes | None, schema: dict) -> str | None:
     if payload is None:
         return None
     try:
-        x = parse_msgpack(payload)
+        x = parse_msgpack(payload, _shown)
     except Invalid:
         return None
 
@@ -154,8 +183,8 @@ def _shows_json(evtnum: int) -> bool:
     return evtnum == JSON_EVTNUM or JSON_RANGE[0] <= evtnum <= JSON_RANGE[1]
 
 
-def header_line(tm_ns: int, pti: int, evtnum: int, nbytes: int, ucount: int, v0: float | None, v1: int | None) -> str:
-    s = f"{HEADER_WORD} {time_text(tm_ns)} EVTNUM {name_of(evtnum)} [{nbytes} bytes] (UCOUNT {ucount})"
+def header_line(tm_ns: int, pti: int, evtnum: int, nbytes: int, ucount: int, v0: float | None, v1: int | None, word: str = HEADER_WORD) -> str:
+    s = f"{word} {time_text(tm_ns)} EVTNUM {name_of(evtnum)} [{nbytes} bytes] (UCOUNT {ucount})"
     if pti in (2, 3):
         s += f" V0:{float_text(v0)}"
     if pti in (1, 3):
@@ -189,18 +218,6 @@ def table_line(tm_ns: int, pti: int, evtnum: int, v0: float | None, v1: int | No
     return s
 
 
-_COLUMNS = ("tm_ns", "pti", "evtnum", "nbytes", "ucount", "v0", "v1", "payload")
-
-
-def _times(tm: pa.Array) -> list[str]:
-    """`time_text` of a whole column."""
-    ns = tm.to_numpy(zero_copy_only=False).astype(np.int64)
-    seconds = np.floor_divide(ns, 1_000_000_000)
-    rest = (ns - seconds * 1_000_000_000).tolist()
-    base = np.datetime_as_string(seconds.astype("datetime64[s]")).tolist()
-    return [(f"{b}." + f"{r:09d}".rstrip("0") + "Z") if r else b + "Z" for b, r in zip(base, rest)]
-
-
 def _payload_text(evtnum: int, payload: bytes | None, shape, schema: dict | None) -> str:
     if _shows_json(evtnum):
         return "  " + shape((payload or b"").decode("utf-8", "replace"))
@@ -211,53 +228,74 @@ def _payload_text(evtnum: int, payload: bytes | None, shape, schema: dict | None
     return ""
 
 
-def stringify(number: Column | None = None, pretty: bool = False, skip_payload: bool = False, schema: dict | None = None) -> Column:
-    """Display line of each frame; with ``number`` its row number in front."""
-    shape = indent_json if pretty else str
+@F.arrow_udf(T.StringType())
+def float_texts(x: pa.Array) -> pa.Array:
+    """`float_text` of a column; null for null."""
+    return pa.array([None if v is None else float_text(v) for v in x.to_pylist()], pa.string())
 
-    @F.arrow_udf(T.StringType())
-    def run(tm: pa.Array, pti: pa.Array, evtnum: pa.Array, nbytes: pa.Array, ucount: pa.Array, v0: pa.Array, v1: pa.Array, payload: pa.Array, i: pa.Array) -> pa.Array:
-        out = []
-        columns = (x.to_pylist() for x in (pti, evtnum, nbytes, ucount, v0, v1, payload, i))
-        for t, p, e, n, u, a, b, d, k in zip(_times(tm), *columns):
-            s = f"{HEADER_WORD} {t} EVTNUM {name_of(e)} [{n} bytes] (UCOUNT {u})"
-            if p == 2:
-                s += f" V0:{float_text(a)}"
-            elif p == 3:
-                s += f" V0:{float_text(a)} V1:{b}"
-            elif p == 1:
-                s += f" V1:{b}"
-            if k >= 0:
-                s = f"{k:06d} {s}"
-            out.append(s if skip_payload or p != 7 else s + _payload_text(e, d, shape, schema))
-        return pa.array(out, pa.string())
 
-    return run(*_COLUMNS, number if number is not None else F.lit(-1))
+def time_texts(tm: Column) -> Column:
+    """`time_text` of a column of nanoseconds."""
+    seconds = whole_div(floor_to(tm, SECOND_NS), SECOND_NS)
+    rest, of_day = F.pmod(tm, F.lit(SECOND_NS)), F.pmod(seconds, F.lit(86400))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    clock = F.concat(two(whole_div(of_day, 3600)), F.lit(":"), two(F.pmod(whole_div(of_day, 60), F.lit(60))), F.lit(":"), two(F.pmod(of_day, F.lit(60))))
+    fraction = F.when(rest == 0, "").otherwise(F.concat(F.lit("."), F.rtrim(F.lpad(rest.cast("string"), 9, "0"), F.lit("0"))))
+    return F.concat(F.date_from_unix_date(utc_day(tm).cast("int")).cast("string"), F.lit("T"), clock, fraction, F.lit("Z"))
 
 
-def header_text() -> Column:
-    return stringify(skip_payload=True)
+def _numbers(v0: str, v1: str) -> Column:
+    """What follows the header where there are numbers."""
+    pti = F.col("pti")
+    a = F.when(pti.isin(2, 3), F.concat(F.lit(v0), F.coalesce(float_texts(F.when(pti.isin(2, 3), F.col("v0"))), F.lit("")))).otherwise("")
+    return F.concat(a, F.when(pti.isin(1, 3), F.concat(F.lit(v1), F.coalesce(F.col("v1"), F.lit(0)).cast("string"))).otherwise(""))
 
 
-def stringify_table() -> Column:
-    """Table line of each frame."""
+def _is_json() -> Column:
+    return (F.col("evtnum") == JSON_EVTNUM) | F.col("evtnum").between(*JSON_RANGE)
+
+
+def _json_payload() -> Column:
+    return F.coalesce(F.make_valid_utf8(F.col("payload").cast("string")), F.lit(""))
 
-    @F.arrow_udf(T.StringType())
-    def run(tm: pa.Array, pti: pa.Array, evtnum: pa.Array, nbytes: pa.Array, ucount: pa.Array, v0: pa.Array, v1: pa.Array, payload: pa.Array) -> pa.Array:
-        rows = zip(tm.to_pylist(), *(x.to_pylist() for x in (pti, evtnum, v0, v1, payload)))
-        return pa.array([table_line(*r) for r in rows], pa.string())
 
-    return run(*_COLUMNS)
+def stringify(number: Column | None = None, pretty: bool = False, skip_payload: bool = False, schema: dict | None = None, word: str = HEADER_WORD) -> Column:
+    """Display line of each frame; with ``number`` its row number in front. Only numbers and payloads that need decoding go
+    through Python."""
+    evtnum = F.col("evtnum")
+    line = F.concat(F.lit(f"{word} "), time_texts(F.col("tm_ns")), F.lit(" EVTNUM "), evtnum_name(evtnum), F.lit(" ["), F.col("nbytes").cast("string"), F.lit(" bytes] (UCOUNT "), F.col("ucount").cast("string"), F.lit(")"), _numbers(" V0:", " V1:"))
+    if number is not None:
+        line = F.concat(F.when(number >= 0, F.format_string("%06d ", number)).otherwise(""), line)
+    if skip_payload:
+        return line
+    shape = pretty_json if pretty else (lambda c: c)
+    packed = F.concat(F.lit(" "), shape(msgpack_to_json(F.when(evtnum.isin(*MSGPACK_EVTNUMS), F.col("payload")))))
+    parts = [F.when(_is_json(), F.concat(F.lit("  "), shape(_json_payload()))), packed]
+    if schema is not None:
+        parts.append(F.concat(F.lit(" "), shape(schema_to_json(schema)(F.when(evtnum == SCHEMA_EVTNUM, F.col("payload"))))))
+    return F.concat(line, F.coalesce(*parts, F.lit("")))
+
+
+def header_text(number: Column | None = None) -> Column:
+    return stringify(number, skip_payload=True)
+
+
+def stringify_table() -> Column:
+    """Table line of each frame."""
+    evtnum = F.col("evtnum")
+    line = F.concat(time_texts(F.col("tm_ns")), F.lit(" evtnum "), evtnum_name(evtnum), _numbers(" V0 ", " V1 "))
+    packed = F.concat(F.lit(" '"), msgpack_to_json(F.when(evtnum.isin(*MSGPACK_EVTNUMS), F.col("payload"))), F.lit("'"))
+    return F.concat(line, F.coalesce(F.when(_is_json(), F.concat(F.lit("  "), _json_payload())), packed, F.lit("")))
 
 
-@F.pandas_udf(T.StringType())
-def pretty_json(text: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else indent_json(t) for t in text])
+@F.arrow_udf(T.StringType())
+def pretty_json(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else indent_json(t) for t in text.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def msgpack_to_json(payload: pd.Series) -> pd.Series:
-    return pd.Series([msgpack_json(None if p is None else bytes(p)) for p in payload])
+@F.arrow_udf(T.StringType())
+def msgpack_to_json(payload: pa.Array) -> pa.Array:
+    return pa.array([msgpack_json(p) for p in payload.to_pylist()], pa.string())
 
 
 def schema_to_json(schema: dict):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,29 @@ def extract_groups(df: DataFrame, text: Column, pattern: str, groups: int, name:
     return df.where(text.rlike(pattern)).withColumn(name, F.concat_ws(" ", *(F.regexp_extract(text, pattern, k) for k in range(1, groups + 1))))
 
 
+def filter_sub(frames: DataFrame, patterns: list[str], match_any: bool = False, exclude: bool = False, text: Column | None = None, name: str = "sub") -> DataFrame:
+    """The frames that fulfil the condition, with the capture groups of the pattern that was tested last, joined by one
+    space, as ``sub``. Patterns are tested in order until the answer is known; an empty match counts as one here. Where the
+    last one tested does not match, or has no groups, there is nothing to print and the frame has no row."""
+    if not patterns:
+        raise ValueError("no pattern")
+    line = F.col("_text")
+    marked = frames.withColumn("_text", text if text is not None else stringify())
+    hits = [F.coalesce(line.rlike(p), F.lit(False)) for p in patterns]
+    groups = [re.compile(p).groups for p in patterns]
+    parts = [F.concat_ws(" ", *(F.regexp_extract(line, p, k) for k in range(1, g + 1))) if g else F.lit(None).cast("string") for p, g in zip(patterns, groups)]
+    # any: the first hit decides; all: the first miss does; else the last pattern was tested
+    last = F.when(hits[-1], parts[-1])
+    if match_any:
+        for h, p in zip(hits[-2::-1], parts[-2::-1]):
+            last = F.when(h, p).otherwise(last)
+    else:
+        for h in hits[-2::-1]:
+            last = F.when(h, last)
+    c = reduce((lambda a, b: a | b) if match_any else (lambda a, b: a & b), hits)
+    return marked.where(~c if exclude else c).withColumn(name, last).where(F.col(name).isNotNull()).drop("_text")
+
+
 def grep_fields(lines: DataFrame, *fields: str, line: str = "value") -> DataFrame:
     """The values of JSON fields in text lines, one a row (``field``, ``found``), as written: first the escaped form
     of strings inside strings, then the plain one up to the next comma or brace. The first match of each counts; field

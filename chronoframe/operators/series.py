@@ -17,11 +17,6 @@ from chronoframe.schema import DAY_NS
 IN_PAST, AVAIL, IN_FUTURE = "InPast", "Avail", "InFuture"
 
 
-def status_name(code: Column) -> Column:
-    return F.element_at(F.array(F.lit(IN_PAST), F.lit(AVAIL), F.lit(IN_FUTURE)), code + 1)
-
-
-
 def asof(
     probes: DataFrame, series: DataFrame, by: list[str] | None = None, strict: bool = False, tie: str = "last",
     tm: str = "tm_ns", seq: str = "seq", bucket_ns: int = DAY_NS, quantise: bool = True,

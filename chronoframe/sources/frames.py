@@ -6,18 +6,21 @@
     spark.readStream.format("chronoframe").option("path", "/archive").load()
 
 A frame file has no sync marker, so it can only be entered where a header walk says. Small files are packed together
-into partitions; files beyond ``splitBytes`` are cut by a walk that reads headers only.
+into partitions; files beyond ``splitBytes`` are cut where a Spark job that walks their headers has found frames to start
+(`split_points`); the driver reads no file. Every task reads its bytes in blocks and decodes only the columns asked for.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -35,27 +38,20 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from chronoframe import codec
-from chronoframe.schema import DAY_NS, DEFAULT_MAX_FRAME_BYTES, FRAME_SCHEMA
+from chronoframe import vectors
+from chronoframe.files import Output, attempt_name, file_sizes, folder_name, resolve
+from chronoframe.schema import DAY_NS, DEFAULT_MAX_FRAME_BYTES, FRAME_SCHEMA, TooShort
 
 FORMAT = "chronoframe"
 PACK_BYTES = 64 << 20
-BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
+SPLIT_BYTES = 256 << 20
+BATCH_ROWS, BLOCK_BYTES = 20_000, 4 << 20
 _DAY = re.compile(r"/([0-9]{4})/([0-9]{2})/([0-9]{2})/")
-_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "tinyint": pa.int8(), "double": pa.float64(), "binary": pa.binary()}
 
 
-def list_files(path: str) -> list[str]:
-    """The frame files at a path: itself, or all below it. Hidden files, temporary ones and indexes are none."""
-    if os.path.isfile(path):
-        return [path]
-    if not os.path.isdir(path):
-        raise FileNotFoundError(path)
-    found = []
-    for root, dirs, names in os.walk(path):
-        dirs[:] = [d for d in dirs if d[0] not in "._"]
-        found += [os.path.join(root, n) for n in names if n[0] not in "._" and not n.endswith((".idx", ".part"))]
-    return sorted(found)
+def list_files(path: str, recursive: bool = True) -> list[str]:
+    """The frame files at a path: itself, or those in it. Hidden files, temporary ones and indexes are none."""
+    return [p for p, _ in file_sizes(path, recursive)]
 
 
 def day_of_path(path: str) -> int | None:
@@ -76,43 +72,71 @@ class Piece(InputPartition):
         self.parts = parts
 
 
-def cut_points(path: str, every: int) -> list[tuple[int, int]]:
-    """(byte, seq) of frame starts about ``every`` bytes apart, by walking headers and seeking over payloads."""
-    points, at, seq, due = [(0, 0)], 0, 0, every
-    with open(path, "rb", buffering=1 << 16) as f:
-        while len(head := f.read(16)) >= 8:
-            try:
-                size = codec.frame_size(head)
-            except codec.TooShort:
-                break
-            if at >= due:
-                points.append((at, seq))
-                due = at + every
-            at, seq = at + size, seq + 1
-            f.seek(at)
-    return points
-
-
-def _batches(parts: list[tuple[str, int, int, int]], schema: StructType, limit: int, fail_fast: bool) -> Iterator[pa.RecordBatch]:
+def _blocks(path: str, start: int, end: int | None, limit: int, fail_fast: bool) -> Iterator[tuple[memoryview, np.ndarray, np.ndarray, int]]:
+    """(bytes, starts, sizes, place of the bytes in the file) of the frames in a stretch of a file, read in blocks. A frame
+    cut off at the end is dropped, or refused if ``fail_fast``."""
+    store, at = resolve(path)
+    rest, place, size = b"", start, BLOCK_BYTES
+    with store.open_input_file(at) as f:
+        f.seek(start)
+        while True:
+            want = size if end is None else min(size, end - place - len(rest))
+            more = f.read(want) if want > 0 else b""
+            data = rest + more if rest else more
+            starts, sizes, upto = vectors.frame_starts(data, limit)
+            if len(starts):
+                yield memoryview(data), starts, sizes, place
+            rest, place = data[upto:], place + upto
+            size = BLOCK_BYTES if len(starts) else max(BLOCK_BYTES, 2 * len(rest))  # a frame longer than a block
+            if not more:
+                if rest and fail_fast:
+                    raise TooShort(f"{path} ends inside the frame at {place}")
+                return
+
+
+def _batches(parts: list[tuple[str, int, int | None, int]], schema: StructType, limit: int, fail_fast: bool) -> Iterator[pa.RecordBatch]:
     names = schema.fieldNames()
-    types = [_ARROW[f.dataType.simpleString()] for f in schema]
-    cols: dict[str, list] = {n: [] for n in names}
-    rows, held = 0, 0
     for path, start, end, seq in parts:
-        with open(path, "rb") as f:
-            f.seek(start)
-            data = f.read(end - start)
-        for row, at in codec.walk(data, limit, fail_fast):
-            row["source_id"], row["seq"], row["byte_offset"] = path, seq, start + at
-            seq += 1
-            for n in names:
-                cols[n].append(row[n])
-            rows, held = rows + 1, held + row["nbytes"]
-            if rows >= BATCH_ROWS or held >= BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) for n, t in zip(names, types)], names)
-                cols, rows, held = {n: [] for n in names}, 0, 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) for n, t in zip(names, types)], names)
+        for data, starts, sizes, place in _blocks(path, start, end, limit, fail_fast):
+            for i in range(0, len(starts), BATCH_ROWS):
+                s, k = starts[i : i + BATCH_ROWS], sizes[i : i + BATCH_ROWS]
+                cols = vectors.decode(data, s, k, names)
+                if "source_id" in names:
+                    cols["source_id"] = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(s), np.int32)), pa.array([path])).cast(pa.string())
+                if "seq" in names:
+                    cols["seq"] = pa.array(seq + np.arange(len(s)), pa.int64())
+                if "byte_offset" in names:
+                    cols["byte_offset"] = pa.array(place + s, pa.int64())
+                seq += len(s)
+                yield pa.RecordBatch.from_arrays([cols[n].cast(vectors.TYPES[n]) for n in names], names)
+
+
+def split_points(spark: SparkSession, files: list[tuple[str, int]], every: int = SPLIT_BYTES) -> dict[str, list[tuple[int, int]]]:
+    """(byte, seq) of frames about ``every`` bytes apart in each of the files longer than that, by a job of a task per file
+    that walks headers. What comes to the driver is a pair of numbers per ``every`` bytes."""
+    large = [(p,) for p, size in files if size > every]
+    if not large:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                points, seq, due = [], 0, every
+                for _, starts, _, place in _blocks(path, 0, None, 1 << 62, False):
+                    i = int(np.searchsorted(starts, due - place))
+                    while i < len(starts):
+                        points.append((path, place + int(starts[i]), seq + i))
+                        due = place + int(starts[i]) + every
+                        i = int(np.searchsorted(starts, due - place))
+                    seq += len(starts)
+                cols = list(zip(*points)) if points else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["path", "at", "seq"])
+
+    found = spark.createDataFrame(large, "path string").repartition(len(large), "path").mapInArrow(run, "path string, at long, seq long")
+    out: dict[str, list[tuple[int, int]]] = {}
+    for r in found.collect():
+        out.setdefault(r.path, []).append((r.at, r.seq))
+    return {p: sorted(x) for p, x in out.items()}
 
 
 class FrameReader(DataSourceReader):
@@ -144,19 +168,20 @@ class FrameReader(DataSourceReader):
         return day is None or not ((self.low is not None and day + DAY_NS <= self.low) or (self.high is not None and day > self.high))
 
     def partitions(self) -> list[InputPartition]:
-        every = int(self.options.get("splitbytes", 256 << 20))
         pack = int(self.options.get("packbytes", PACK_BYTES))
+        splits = json.loads(self.options.get("splits", "{}"))
         out: list[InputPartition] = []
-        parts: list[tuple[str, int, int, int]] = []
+        parts: list[tuple[str, int, int | None, int]] = []
         size = 0
-        for path in filter(self._wanted, list_files(self.options["path"])):
-            length = os.path.getsize(path)
-            if length > every:
-                points = cut_points(path, every)
-                ends = [p[0] for p in points[1:]] + [length]
+        for path, length in file_sizes(self.options["path"], self.options.get("recursive", "true").lower() != "false"):
+            if not self._wanted(path):
+                continue
+            if path in splits:
+                points = [(0, 0), *map(tuple, splits[path])]
+                ends = [at for at, _ in points[1:]] + [None]
                 out += [Piece([(path, at, end, seq)]) for (at, seq), end in zip(points, ends)]
                 continue
-            parts.append((path, 0, length, 0))
+            parts.append((path, 0, None, 0))
             size += length
             if size >= pack:
                 out.append(Piece(parts))
@@ -171,35 +196,38 @@ class FrameReader(DataSourceReader):
 
 
 class FollowReader(DataSourceStreamReader):
-    """Frames appended to the files of a path. An offset is the length of every file up to its last complete frame, so
-    a half-written frame is read once it is whole. ``startingAt=end`` skips what is there at the start."""
+    """Frames appended to the files of a path. An offset is the length and the number of frames of every file up to its last
+    complete frame, so a half-written frame is read once it is whole. ``startingAt=end`` skips what is there at the start.
+
+    Each trigger takes at most ``maxBytesPerFile`` more of a file, walked in blocks without holding them; the frames
+    themselves are read by the tasks. A file that has not grown is not opened."""
 
     def __init__(self, schema: StructType, options: dict) -> None:
         self.schema, self.options = schema, options
         self.known: dict[str, list[int]] = {}
+        self.most = int(options.get("maxbytesperfile", 1 << 30))
 
-    def _extend(self) -> dict:
-        for path in list_files(self.options["path"]):
+    def _extend(self, most: int | None = None) -> dict:
+        for path, length in file_sizes(self.options["path"], self.options.get("recursive", "true").lower() != "false"):
             at, seq = self.known.get(path, (0, 0))
-            if os.path.getsize(path) > at:
-                with open(path, "rb") as f:
-                    f.seek(at)
-                    data = f.read()
-                end = codec.complete_length(data)
-                n = sum(1 for _ in codec.walk(data[:end], 1 << 62))
-                self.known[path] = [at + end, seq + n]
+            if length > at:
+                upto = None if most is None else at + most
+                for _, starts, sizes, place in _blocks(path, at, upto, 1 << 62, False):
+                    at, seq = place + int(starts[-1] + sizes[-1]), seq + len(starts)
+                self.known[path] = [at, seq]
         return {p: list(x) for p, x in self.known.items()}
 
     def initialOffset(self) -> dict:
         return self._extend() if self.options.get("startingat", "begin") == "end" else {}
 
     def latestOffset(self) -> dict:
-        return self._extend()
+        return self._extend(self.most)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         out = []
-        for path, (to, _) in end.items():
+        for path, (to, n) in end.items():
             at, seq = start.get(path, (0, 0))
+            self.known[path] = max(self.known.get(path, [0, 0]), [to, n])  # after a restart
             if to > at:
                 out.append(Piece([(path, at, to, seq)]))
         return out
@@ -213,54 +241,53 @@ class FollowReader(DataSourceStreamReader):
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, temporary: str, final: str, rows: int) -> None:
-        self.temporary, self.final, self.rows = temporary, final, rows
+    def __init__(self, output: str, part: str, rows: int) -> None:
+        self.final, self.part, self.rows = output, part, rows
 
 
 class FrameWriter(DataSourceArrowWriter):
-    """Writes each partition's ``raw`` bytes in order to one file; files appear when the whole job commits."""
+    """Writes each partition's ``raw`` bytes in order to one file; files appear when the whole job commits. Overwriting
+    removes the old files only after the new ones have their names."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex[:12]
+        self.path, self.overwrite, self.job = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex[:12]
         self.raw = options.get("rawcolumn", "raw")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
-        context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}-{self.job}"
-        temporary = os.path.join(self.path, f".{name}-{context.taskAttemptId()}.part")
+        name = f"part-{TaskContext.get().partitionId():05d}-{self.job}"
+        out = Output(self.path, name, attempt_name())
         rows = 0
-        with open(temporary, "wb") as f:
-            for batch in iterator:
-                column = batch.column(batch.schema.get_field_index(self.raw))
-                rows += len(column)
-                f.write(b"".join(x for x in column.to_pylist() if x is not None))
-            f.flush()
-            os.fsync(f.fileno())
-        return Written(temporary, os.path.join(self.path, name), rows)
+        for batch in iterator:
+            column = batch.column(batch.schema.get_field_index(self.raw))
+            rows += len(column)
+            out.write(b"".join(x for x in column.to_pylist() if x is not None))
+        out.close()
+        return Written(out._final, out._part, rows)
 
     def commit(self, messages: list[Written | None]) -> None:
-        if self.overwrite:
-            for old in list_files(self.path):
-                os.remove(old)
+        store, _ = resolve(self.path)
+        old = list_files(self.path) if self.overwrite else []
         for m in messages:
             if m is not None:
                 if m.rows:
-                    os.replace(m.temporary, m.final)
+                    store.move(m.part, m.final)
                 else:
-                    os.remove(m.temporary)
+                    store.delete_file(m.part)
+        for path in old:
+            store.delete_file(resolve(path)[1])
 
     def abort(self, messages: list[Written | None]) -> None:
+        store, _ = resolve(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            if m is not None and store.get_file_info(m.part).is_file:
+                store.delete_file(m.part)
 
 
 class FrameSource(DataSource):
     """Options: path, columns (only these are decoded into rows), maxFrameBytes, mode (DROPTAIL or FAILFAST), layout=day,
-    splitBytes, packBytes, startingAt (streams), rawColumn (sink)."""
+    packBytes, splits (JSON of `split_points`), recursive, startingAt and maxBytesPerFile (streams), rawColumn (sink)."""
 
     @classmethod
     def name(cls) -> str:
@@ -289,9 +316,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FrameSource)
 
 
-def read_frames(spark: SparkSession, path: str, columns: list[str] | None = None, max_frame_bytes: int = DEFAULT_MAX_FRAME_BYTES, mode: str = "DROPTAIL", layout: str | None = None) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, columns: list[str] | None = None, max_frame_bytes: int = DEFAULT_MAX_FRAME_BYTES, mode: str = "DROPTAIL", layout: str | None = None, split_bytes: int = SPLIT_BYTES, recursive: bool = True) -> DataFrame:
+    """The frames of a file or folder. Files beyond ``split_bytes`` are first walked by a job to find where to cut them."""
     register(spark)
-    r = spark.read.format(FORMAT).option("maxFrameBytes", max_frame_bytes).option("mode", mode)
+    r = spark.read.format(FORMAT).option("maxFrameBytes", max_frame_bytes).option("mode", mode).option("recursive", str(recursive).lower())
+    splits = split_points(spark, file_sizes(path, recursive), split_bytes)
+    if splits:
+        r = r.option("splits", json.dumps(splits))
     if columns:
         r = r.option("columns", ",".join(columns))
     if layout:
@@ -305,6 +336,40 @@ def write_frames(df: DataFrame, path: str, mode: str = "append") -> None:
     df.select("raw").write.format(FORMAT).mode(mode).save(path)
 
 
+def write_sources(frames: DataFrame, directory: str, place=None) -> DataFrame:
+    """Write the bytes of each source, in order of ``seq``, to a file of its own below ``directory`` (named by the source,
+    or by ``place``, a column of a relative path); yields path, frames and bytes. Rows without source or raw are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = attempt_name()
+        ident, sink, n, size, done = None, None, 0, 0, []
+
+        def close() -> None:
+            if sink is not None:
+                done.append((sink.publish(), n, size))
+
+        for batch in batches:
+            for name, raw in zip(batch.column("name").to_pylist(), batch.column("raw").to_pylist()):
+                if name != ident:
+                    close()
+                    ident, n, size = name, 0, 0
+                    folder, _, last = f"{directory.rstrip('/')}/{name}".rpartition("/")
+                    sink = Output(folder, last, attempt)
+                sink.write(raw)
+                n, size = n + 1, size + len(raw)
+        close()
+        cols = list(zip(*done)) if done else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], ["path", "n_frames", "n_bytes"])
+
+    @F.arrow_udf("string")
+    def own_name(source: pa.Array) -> pa.Array:
+        codes = source.dictionary_encode()
+        return pa.array([folder_name(x) for x in codes.dictionary.to_pylist()], pa.string()).take(codes.indices)
+
+    rows = frames.where("source_id is not null and raw is not null").select((place if place is not None else own_name("source_id")).alias("name"), "seq", "raw")
+    return rows.repartition("name").sortWithinPartitions("name", "seq").mapInArrow(run, "path string, n_frames long, n_bytes long")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files; empty lines are left out, the last needs no newline."""
     return spark.read.text(path).where("value <> ''")

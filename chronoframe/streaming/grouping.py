@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.schema import MINUTE_NS
 
-
-def count_per_stream(frames: DataFrame, interval: str = "1 minute", late: str | None = "10 minutes", by: str = "source_id") -> DataFrame:
+def count_per_stream(frames: DataFrame, interval: str = "1 minute", late: str | None = None, by: str = "source_id") -> DataFrame:
     """Counts per source and tumbling window of event time (windows start at multiples of the interval; a stream has no
-    first frame to anchor them to). ``late`` is how long a window waits; None keeps all windows open."""
+    first frame to anchor them to). Late rows always count unless ``late`` says how long a window waits."""
     f = frames.withColumn("ts", F.timestamp_micros(F.call_function("div", F.col("tm_ns"), F.lit(1000))))
     if late is not None:
         f = f.withWatermark("ts", late)
     return f.groupBy(by, F.window("ts", interval).alias("w")).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
-
-def minute_ns(frames: DataFrame) -> DataFrame:
-    """Frames with the start of their minute."""
-    return frames.withColumn("minute_ns", F.col("tm_ns") - F.pmod("tm_ns", F.lit(MINUTE_NS)))

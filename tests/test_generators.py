@@ -20,9 +20,9 @@ def test_shapes(spark):
         assert r.payload is None or bytes(r.payload) == bytes(range(len(r.payload)))
     assert [r.v0 for r in gen.repeats(spark, [2, 1]).orderBy("seq").collect()] == [0.0, 0.0, 1.0]
     assert gen.floats(spark, 5).agg(F.sum("v0")).collect()[0][0] == 10.0 and gen.pairs(spark, 5).where("v1 = 0").count() == 5
-    base = 1457568000000000000
-    g = gen.gapped(spark, base, [-1, -5, -10, 0, -5, 15, 0, -2], [4, 4, 4, 0, 4, 1, 0, 4], [0, 1, 2, 3, 4, 4, 5, 6]).orderBy("seq").collect()
-    assert [(r.v0, r.v1, (r.tm_ns - base) // 10**9) for r in g] == [(-1, 4, 0), (-5, 4, 1), (-10, 4, 2), (-5, 4, 4), (15, 1, 4), (-2, 4, 6)]
+    base = 1500000000000000000
+    g = gen.gapped(spark, base, [3, 0, 7.5, -2], [1, 2, 9, 4], [10, 20, 30, 30]).orderBy("seq").collect()
+    assert [(r.v0, r.v1, (r.tm_ns - base) // 10**9) for r in g] == [(3.0, 1, 10), (7.5, 9, 30), (-2.0, 4, 30)]
 
 
 def test_log_entries(spark):

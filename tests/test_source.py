@@ -43,8 +43,7 @@ def test_split_and_filters(spark, tmp_path):
     raws = _raws(500)
     _write(str(tmp_path / "2016/02/16/s"), raws)
     _write(str(tmp_path / "2016/02/17/s"), [frame(BASE + 86400 * 10**9, 2, 1.0)])
-    r = src.register(spark) or spark.read.format(src.FORMAT).option("splitBytes", 1000)
-    df = r.load(str(tmp_path))
+    df = src.read_frames(spark, str(tmp_path), split_bytes=1000)
     assert df.rdd.getNumPartitions() > 5
     assert [(x.seq, bytes(x.raw)) for x in df.where("tm_ns < 1455667200000000000").orderBy("seq").collect()] == list(enumerate(raws))
     pruned = src.read_frames(spark, str(tmp_path), layout="day").where(F.col("tm_ns") >= BASE + 86400 * 10**9)
