@@ -67,9 +67,9 @@ def slice_frames(frames: DataFrame, skip: int = 0, count: int = 0, seq: str = "s
     return frames.where(c & (F.col(seq) < skip + count) if count else c)
 
 
-def head(frames: DataFrame, count: int, skip: int = 0) -> DataFrame:
-    """The same over any global order."""
-    return time_sort(frames).offset(skip).limit(count)
+def head(frames: DataFrame, count: int, skip: int = 0, *ties: str) -> DataFrame:
+    """The same over the order of time; each task keeps no more than ``skip + count`` rows."""
+    return time_sort(frames, *ties).offset(skip).limit(count)
 
 
 def last_n(frames: DataFrame, n: int, by: list[str] | None = None, seq: str = "seq") -> DataFrame:

@@ -206,6 +206,7 @@ class FollowReader(DataSourceStreamReader):
         self.schema, self.options = schema, options
         self.known: dict[str, list[int]] = {}
         self.most = int(options.get("maxbytesperfile", 1 << 30))
+        self.pack = int(options.get("packbytes", PACK_BYTES))
 
     def _extend(self, most: int | None = None) -> dict:
         for path, length in file_sizes(self.options["path"], self.options.get("recursive", "true").lower() != "false"):
@@ -224,13 +225,18 @@ class FollowReader(DataSourceStreamReader):
         return self._extend(self.most)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out = []
+        out: list[Piece] = []
+        parts, size = [], 0
         for path, (to, n) in end.items():
             at, seq = start.get(path, (0, 0))
             self.known[path] = max(self.known.get(path, [0, 0]), [to, n])  # after a restart
             if to > at:
-                out.append(Piece([(path, at, to, seq)]))
-        return out
+                parts.append((path, at, to, seq))
+                size += to - at
+                if size >= self.pack:
+                    out.append(Piece(parts))
+                    parts, size = [], 0
+        return out + [Piece(parts)] if parts else out
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         limit = int(self.options.get("maxframebytes", DEFAULT_MAX_FRAME_BYTES))
