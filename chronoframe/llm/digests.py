@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.operators.arrow import bounds
-from chronoframe.session import broadcast_if_small, cut_lineage
+from chronoframe.session import cut_lineage, small_enough
 
-DELTA = 400
+DELTA = 1000
 SALTS = 32
+#: Levels at which values are clustered: where they are read, per salt, per group; with parts, per salt and group again.
+LEVELS, LEVELS_WITH_PARTS = 3, 5
 PENDING = 64
+SMALL_SIDE = 100_000
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 FIELDS = ["means", "weights", "lows", "highs", "n_low", "n_high"]
 DIGEST_FIELDS = "means array<double>, weights array<long>, lows array<double>, highs array<double>, n_low long, n_high long"
@@ -165,7 +168,7 @@ def _types(df: DataFrame, by: list[str]) -> str:
 def merge_digests(digests: DataFrame, by: list[str], delta: int = DELTA) -> DataFrame:
     """One digest per group of ``by``: first per group and salt, so that a group with many digests is merged by many
     tasks, then per group."""
-    salted = digests.select(*by, *FIELDS).withColumn("salt", F.pmod(F.xxhash64("means", "weights"), F.lit(SALTS)).cast("int"))
+    salted = digests.select(*by, *FIELDS).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int"))
     first = [*by, "salt"]
     level = salted.repartition(*first).sortWithinPartitions(*first).mapInArrow(_merger(first, delta), f"{_types(salted, first)}, {DIGEST_FIELDS}").drop("salt")
     return level.repartition(*by).sortWithinPartitions(*by).mapInArrow(_merger(by, delta), f"{_types(digests, by)}, {DIGEST_FIELDS}")
@@ -179,10 +182,10 @@ def build_digests(df: DataFrame, value: str, by: list[str], delta: int = DELTA,
     return merge_digests(rows.mapInArrow(_build(by, delta, held), f"{_types(df, by)}, {DIGEST_FIELDS}"), by, delta)
 
 
-def error_bound(q: float, delta: int = DELTA) -> float:
-    """Rank error, as a share of the values, that a digest of ``delta`` stays within: the width of the cluster at q, for
-    one built and one merged level."""
-    return 2 * (2 * np.pi / delta) * float(np.sqrt(q * (1 - q))) + (2 * np.pi / delta) ** 2
+def error_bound(q: float, delta: int = DELTA, levels: int = LEVELS) -> float:
+    """Rank error, as a share of the values, that a digest of ``delta`` stays within: at each level at which values were
+    clustered, the width of the cluster at q."""
+    return levels * (2 * np.pi / delta) * float(np.sqrt(q * (1 - q))) + (2 * np.pi / delta) ** 2
 
 
 def percentiles(digests: DataFrame, by: list[str], qs: tuple[float, ...] = QUANTILES) -> DataFrame:
@@ -201,14 +204,21 @@ def percentiles(digests: DataFrame, by: list[str], qs: tuple[float, ...] = QUANT
     return digests.mapInArrow(run, f"{_types(digests, by)}, n long, estimates array<double>")
 
 
-def certify(df: DataFrame, value: str, by: list[str], estimates: DataFrame, qs: tuple[float, ...] = QUANTILES, delta: int = DELTA) -> DataFrame:
+def certify(df: DataFrame, value: str, by: list[str], estimates: DataFrame, qs: tuple[float, ...] = QUANTILES, delta: int = DELTA, levels: int = LEVELS) -> DataFrame:
     """Second pass: counts the values below and up to each estimate. Yields the estimates with ``rank_error`` (the
     largest distance between a wanted and a held rank, as a share of n) and ``certified`` (all within `error_bound`).
 
-    Counts are combined before they are shuffled; the estimates are broadcast only if counted small."""
+    Counts are combined before they are shuffled. The estimates are broadcast if counted small; else values and estimates
+    meet by group and salt, so that a group with most of the values is spread over many tasks."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("value"))
-    side = broadcast_if_small(estimates.select(*[F.col(c).alias(f"e_{c}") for c in by], "estimates"))
+    side = estimates.select(*[F.col(c).alias(f"e_{c}") for c in by], "estimates")
     same = None
+    if small_enough(side, SMALL_SIDE):
+        side = F.broadcast(side)
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("value", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        side = side.withColumn("e_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = F.col("salt") == F.col("e_salt")
     for c in by:
         x = F.col(c).eqNullSafe(F.col(f"e_{c}"))
         same = x if same is None else same & x
@@ -218,7 +228,7 @@ def certify(df: DataFrame, value: str, by: list[str], estimates: DataFrame, qs:
     within = None
     for e, q in zip(errors, qs):
         # a quantile between two values may be either of them, hence one value of play
-        x = e <= error_bound(q, delta) + 1 / F.col("n")
+        x = e <= error_bound(q, delta, levels) + 1 / F.col("n")
         within = x if within is None else within & x
     return counted.select(*by, "n", "estimates", F.greatest(*errors).alias("rank_error") if len(errors) > 1 else errors[0].alias("rank_error"), within.alias("certified"))
 
@@ -228,5 +238,5 @@ def certified_percentiles(df: DataFrame, value: str, by: list[str], qs: tuple[fl
     built per group and part and merged; what the merging adds to the error is in rank_error, the bound stays."""
     digests = build_digests(df, value, [*by, *(parts or [])], delta)
     estimates = cut_lineage(percentiles(merge_digests(digests, by, delta) if parts else digests, by, qs))
-    sure = certify(df, value, by, estimates, qs, delta)
+    sure = certify(df, value, by, estimates, qs, delta, LEVELS_WITH_PARTS if parts else LEVELS)
     return sure.select(*by, "n", *(F.col("estimates")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(qs)), "rank_error", "certified")

@@ -10,14 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm.fm_index import FMIndex
 
 PHRASE_WORDS = 10
 SHARD_WORDS = 1 << 19
-ITEMS_AT_ONCE = 20_000
+#: Bytes of item texts that go to the tasks at once.
+ITEM_BYTES = 64 << 20
 OTHER = 1  # the symbol of words no item has, and of the place between two documents
 
 _WORD = re.compile(r"[^\W_]+")
@@ -123,10 +124,12 @@ def leaked_spans(docs: DataFrame, items: DataFrame, size: int = PHRASE_WORDS, sh
     two items counts for both.
 
     The documents are not shuffled: each task indexes its own rows in shards of about ``shard_words`` symbols. The
-    stated items go to the tasks in blocks of at most ``ITEMS_AT_ONCE``, so what is sent stays bounded."""
+    stated items go to the tasks in blocks of about ``ITEM_BYTES`` of text, so what is sent stays bounded; each block is
+    one pass over the documents. Spans of one item that touch are one, also across the shards of a long text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pool = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, math.ceil(pool.count() / ITEMS_AT_ONCE))
+    n_bytes = pool.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
+    blocks = max(1, math.ceil(n_bytes / ITEM_BYTES))
     out = None
     for b in range(blocks):
         part = pool.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else pool
@@ -134,7 +137,22 @@ def leaked_spans(docs: DataFrame, items: DataFrame, size: int = PHRASE_WORDS, sh
         shipped = docs.sparkSession.sparkContext.broadcast(phrases)
         spans = rows.mapInArrow(lambda it, x=shipped: _search(x.value, shard_words)(it), _SPANS)
         out = spans if out is None else out.unionByName(spans)
-    return out
+    return merge_spans(out, "doc_id", "item_id").drop("items")
+
+
+def merge_spans(spans: DataFrame, *by: str) -> DataFrame:
+    """Spans of equal ``by`` that overlap or touch become one: by, first_word, last_word, and the items (sorted)."""
+    w = Window.partitionBy(*by).orderBy("first_word", "last_word", "item_id")
+    before = F.max("last_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.withColumn("opens", F.coalesce(F.col("first_word") > before + 1, F.lit(True)))
+    island = opens.withColumn("island", F.count_if("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = island.groupBy(*by, "island").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    return out.drop("island")
+
+
+def removal_spans(spans: DataFrame) -> DataFrame:
+    """The stretches of words to remove from each document: spans of any items merged."""
+    return merge_spans(spans, "doc_id")
 
 
 def leaked_items(spans: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.times import day_text, utc_day
 from chronoframe.llm.digests import certified_percentiles
-from chronoframe.llm.leakage import leaked_items, leaked_spans
+from chronoframe.llm.leakage import leaked_items, leaked_spans, removal_spans
 from chronoframe.llm.runs import collapse_runs
 from chronoframe.llm.tokens import decode_ids, encode_corpus
 from chronoframe.llm.truncation import truncated, truncation_rates
@@ -53,7 +53,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     """Merged spans of leaked words, to be removed."""
-    return leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    spans = removal_spans(leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items")))
+    return spans.select("doc_id", "first_word", "last_word", F.size("items").alias("n_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -70,3 +70,11 @@ def test_stream_percentiles_are_certified(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["p5_stream_percentiles"](spark, "/root/testdata/sf0.001").columns[-2:] == ["rank_error", "certified"]
+
+
+def test_certify_beyond_the_broadcast(spark, monkeypatch):
+    """Groups and salts meet by a join where the estimates are too many to broadcast; the counts are the same."""
+    df = spark.range(5000).selectExpr("if(id % 3 = 0, null, 'g' || id % 3) g", "double(id * 7919 % 5000) v")
+    near = dg.certified_percentiles(df, "v", ["g"]).orderBy("g").collect()
+    monkeypatch.setattr(dg, "SMALL_SIDE", 1)
+    assert dg.certified_percentiles(df, "v", ["g"]).orderBy("g").collect() == near and all(r.certified for r in near)

@@ -60,8 +60,8 @@ def test_against_brute_force(spark, shard, monkeypatch):
     it = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     want = _brute(docs, items, 5)
     assert want
-    for at_once in (20_000, 7):
-        monkeypatch.setattr(lk, "ITEMS_AT_ONCE", at_once)
+    for at_once in (64 << 20, 700):
+        monkeypatch.setattr(lk, "ITEM_BYTES", at_once)
         spans = lk.leaked_spans(df, it, size=5, shard_words=shard)
         assert {tuple(r) for r in lk.leaked_items(spans).collect()} == want
     text = dict(docs)
@@ -70,3 +70,11 @@ def test_against_brute_force(spark, shard, monkeypatch):
         assert len(w) == r.last_word - r.first_word + 1 >= 5
         assert (r.doc_id, r.item_id) in _brute([(r.doc_id, " ".join(w))], items, 5)
     assert lk.leaked_spans(df.where("false"), it).count() == 0 and lk.leaked_spans(df, it.where("false")).count() == 0
+
+
+def test_removal_spans_do_not_overlap(spark):
+    spans = [(1, 7, 1, 22), (1, 8, 6, 17), (1, 9, 23, 30), (1, 7, 40, 50), (2, 7, 1, 5), (None, 1, 0, 9), (None, 2, 5, 11)]
+    df = spark.createDataFrame(spans, lk._SPANS)
+    got = [(r.doc_id, r.first_word, r.last_word, r["items"]) for r in lk.removal_spans(df).orderBy("doc_id", "first_word").collect()]
+    assert got == [(None, 0, 11, [1, 2]), (1, 1, 30, [7, 8, 9]), (1, 40, 50, [7]), (2, 1, 5, [7])]
+    assert lk.removal_spans(df.where("false")).count() == 0
