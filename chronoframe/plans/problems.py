@@ -62,7 +62,7 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Faulty readings per stream and reason."""
     frames = table(spark, d, "frames").select("source_id", "seq", "stream_name")
     faults = implausible(table(spark, d, "frames"), table(spark, d, "stream_config"))
-    counts = (F.count_if(c).alias(f"n_{c}") for c in ("impossible", "spike", "stuck"))
+    counts = (F.count_if(c).alias(f"n_{c}") for c in ("impossible", "spike", "stuck", "steep"))
     return faults.join(frames, ["source_id", "seq"]).groupBy("stream_name").agg(F.count("*").alias("n_faulty"), *counts)
 
 
