@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.operators.compaction import PACK_BYTES, fold_frames, folded_files, packs
 from chronoframe.operators.outliers import implausible
-from chronoframe.operators.regular_grid import empty_periods, regular_grid
+from chronoframe.operators.regular_grid import empty_periods, held_out_errors, regular_grid
 from chronoframe.operators.shredding import all_entities, child_objects, entities
 from chronoframe.plans.tables import table
 
@@ -34,6 +34,11 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(spark, d, "frames"), table(spark, d, "stream_config"))
 
 
+def p2_errors(spark: SparkSession, d: str) -> DataFrame:
+    """How far fills lie from hidden readings, per stream, beside the day's mean and median."""
+    return held_out_errors(table(spark, d, "frames"), table(spark, d, "stream_config"))
+
+
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     return all_entities(table(spark, d, "frames"), table(spark, d, "evtnum_registry"))
 
@@ -67,7 +72,7 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_packs, p2_found, p2_grid, p3_found, p3_spans, p3_entities, p4_found, p4_reasons)
+    f.__name__: f for f in (p1_found, p1_packs, p2_found, p2_grid, p2_errors, p3_found, p3_spans, p3_entities, p4_found, p4_reasons)
 }
 
 _READ = "v0 IS NOT NULL AND NOT isnan(v0)"

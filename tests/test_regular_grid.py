@@ -58,3 +58,32 @@ def test_filled_from_other_sources(spark):
     got = {(r.period_start_ns - BASE) // MIN: r for r in rg.regular_grid(frames_df(spark, raws), spark.createDataFrame([(f"s{k}", "1 min", None, None, None, None) for k in range(6)], CONFIG)).where("stream_name = 's0'").collect()}
     assert all(got[t].status == "filled" and abs(got[t].value - np.sin(t / 9)) < 0.1 for t in range(20, 30))
     assert got[10].status == "observed" and got[10].value == float(np.sin(10 / 9))
+
+
+def test_departures_are_bridged():
+    """A row that wanders for itself is filled from its neighbours in time, white noise is not; spikes set no scale."""
+    rng = np.random.default_rng(3)
+    walk = np.cumsum(rng.standard_normal((6, 400)), axis=1)
+    noise = rng.standard_normal((2, 400))
+    full = np.concatenate([walk, noise])
+    m = full.copy()
+    gone = rng.random(m.shape) < 0.1
+    m[gone] = np.nan
+    m[0, 5] = m[6, 7] = 1e6
+    filled, can = rg.complete(m)
+    error = np.where(gone & can, np.abs(filled - full), np.nan)
+    assert np.nanmedian(error[:6]) < 1.5 and np.nanmedian(error[6:]) < 1.2
+    assert filled[0, 5] == 1e6
+
+
+def test_very_fine_periods(spark, monkeypatch):
+    """A day cut in time: every period between the first and last reading is there once, also in stretches without any."""
+    monkeypatch.setattr(rg, "MATRIX_COLUMNS", 100)
+    config = spark.createDataFrame([(s, "1/1000 s", None, None, None, None) for s in "ab"], CONFIG)
+    times = [5, 250, 251, 777]
+    f = frames_df(spark, [(s, s, frame(BASE + t * 10**6, 2, float(t))) for s in "ab" for t in times])
+    rows = rg.regular_grid(f, config).collect()
+    for s in "ab":
+        got = {(r.period_start_ns - BASE) // 10**6: r.status for r in rows if r.stream_name == s}
+        assert sorted(got) == list(range(5, 778)) and {t for t, x in got.items() if x == "observed"} == set(times)
+    assert len(rows) == 2 * 773
