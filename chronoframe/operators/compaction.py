@@ -307,22 +307,23 @@ def _contained(pieces: DataFrame, doubtful: DataFrame) -> DataFrame:
     whose frames one other file of more distinct frames, or as many and a smaller rank, holds. Candidates meet at one
     identity, then at all; only equi-joins."""
     mine = pieces.where(f"kind = {KEYS}").join(doubtful, "rank", "left_semi")
-    every = "k1 long, k2 long, weight int, rank long, seq long, holder long"
-
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, seqs, weight, rank in zip(*(batch.column(c).to_pylist() for c in ("keys", "seqs", "weight", "rank"))):
-                k = np.frombuffer(keys, ">i8").astype(np.int64).reshape(-1, 2)
-                n = len(k)
-                cols = [k[:, 0], k[:, 1], np.full(n, weight), np.full(n, rank), np.frombuffer(seqs, np.int64)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, _KEY_TYPES)), pa.nulls(n, pa.int64())], _KEY_NAMES)
-
-    wanted = cut_lineage(mine.select("keys", "seqs", "weight", "rank").mapInArrow(spread, every).select("k1", "k2", "weight", "rank"))
-    held = pieces.where(f"kind = {KEYS}").select("keys", "seqs", "weight", "rank").mapInArrow(spread, every).select("k1", "k2", F.col("weight").alias("w"), F.col("rank").alias("r"))
-    few = small_enough(wanted, SMALL_SIDE)
-    side = F.broadcast if few else (lambda df: df)
+            if not batch.num_rows:
+                continue
+            k = np.frombuffer(b"".join(batch.column("keys").to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
+            of = np.repeat(np.arange(batch.num_rows), [len(x) // 16 for x in batch.column("keys").to_pylist()])
+            cols = [pa.array(k[:, 0]), pa.array(k[:, 1]), *(batch.column(c).take(pa.array(of)) for c in ("weight", "rank"))]
+            table = pa.Table.from_arrays(cols, ["k1", "k2", "weight", "rank"])
+            yield from table.to_batches(50_000)
+
+    every = "k1 long, k2 long, weight int, rank long"
+    wanted = cut_lineage(mine.select("keys", "weight", "rank").mapInArrow(spread, every))
+    side = F.broadcast if small_enough(wanted, SMALL_SIDE) else (lambda df: df)
+    held = pieces.where(f"kind = {KEYS}").select("keys", "weight", "rank").mapInArrow(spread, every).select("k1", "k2", F.col("weight").alias("w"), F.col("rank").alias("r"))
+    held = cut_lineage(held.join(side(wanted.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi"))
     anchor = wanted.groupBy("rank").agg(F.min(F.struct("k1", "k2", "weight")).alias("a")).select("rank", "a.*")
-    pairs = held.join(side(anchor), ["k1", "k2"]).where("w > weight or w = weight and r < rank").select("rank", "r").distinct()
+    pairs = held.join(anchor, ["k1", "k2"]).where("w > weight or w = weight and r < rank").select("rank", "r").distinct()
     asked = pairs.join(wanted, "rank").select("rank", "r", "k1", "k2", "weight")
     met = asked.join(held.select("k1", "k2", "r").distinct(), ["k1", "k2", "r"]).groupBy("rank", "r").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
     return met.where("n = weight").select("rank").distinct()
