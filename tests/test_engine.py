@@ -189,8 +189,28 @@ def test_payload_grep_searches_all_text(spark, tmp_path):
     rows = [(e, hit) for e in (-1, 12, 13, 14, 2000, 2101, 3003, 9999)] + [(14, b'\xff"lsn":8'), (14, b'{"lsn":"x"}'), (9, hit), (16, hit), (1999, hit), (10000, hit), (14, None)]
     f = spark.createDataFrame([("s", i, e, p and bytearray(p)) for i, (e, p) in enumerate(rows)], "source_id string, seq long, evtnum int, payload binary")
     f.write.parquet(f"{tmp_path}/frames.parquet")
-    got = sorted((r.seq, r.lsn) for r in entry.queries()["payload_grep_all"](spark, str(tmp_path)).collect())
+    got = sorted((r.seq, r.lsn) for r in entry.queries()["payload_grep"](spark, str(tmp_path)).collect())
     assert got == [(i, "7") for i in range(8)] + [(8, "8")]
     con = pytest.importorskip("duckdb").connect()
     con.sql(f"create view frames as select * from '{tmp_path}/frames.parquet/*.parquet'")
-    assert sorted(con.sql(f"select seq, lsn from ({entry.oracle_sql()['payload_grep_all']})").fetchall()) == got
+    assert sorted(con.sql(f"select seq, lsn from ({entry.oracle_sql()['payload_grep']})").fetchall()) == got
+
+
+@pytest.mark.parametrize(
+    "any_,exclude,want",
+    [(False, False, {0: "x 1"}), (True, False, {0: "a", 1: "a", 2: "y 2"}), (False, True, {}), (True, True, {})],
+)
+def test_sub_prints_the_pattern_tested_last(spark, any_, exclude, want):
+    """All: the last pattern, where the others match. Any: the first that matches. Excluded frames end on a miss."""
+    f = spark.createDataFrame([(0, "a x1"), (1, "a"), (2, "y2"), (3, "none"), (4, None)], "seq long, line string")
+    got = filters.filter_sub(f, ["(a)", "([xy])([0-9])"], any_, exclude, F.col("line"))
+    assert {r.seq: r["sub"] for r in got.collect()} == want
+
+
+def test_v1_is_set_where_both_numbers_are(spark):
+    from chronoframe.functions import frames as ff
+    from tests.makers import BASE, frame, frames_df
+
+    f = frames_df(spark, [("s", "a", frame(BASE, e, 1.5, 7)) for e in (1, 2, 3)])
+    got = ff.set_v1(f, F.lit(9)).select("v1", ff.decode_raw("raw").alias("r")).select("v1", F.col("r.v1").alias("w")).collect()
+    assert [tuple(r) for r in got] == [(7, 7), (None, None), (9, 9)]
