@@ -8,6 +8,7 @@ of what was written are compared.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -25,9 +26,11 @@ from chronoframe.session import broadcast_if_small, cut_lineage, scratch_path, s
 
 SMALL_FILE_BYTES = 16_384
 PACK_BYTES = 128 << 20
-#: A file's frames are handled in chunks of so many, a chunk in segments of at most so many bytes.
+#: A file's frames are handled in chunks of so many, a chunk in segments of about so many bytes: what a row holds, so that
+#: a batch of rows fits in memory.
 CHUNK_FRAMES = 1 << 16
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 15
+BATCH_BYTES = 4 << 20
 #: Identities a task looks through at once for repeats, before they are shuffled.
 BLOCK_KEYS = 1 << 19
 SMALL_SIDE = 200_000
@@ -115,14 +118,17 @@ def _segments(limit: int):
             seq, keys = batch.column("seq").to_pylist(), batch.column("key").to_pylist()
             sizes = np.append(0, batch.column("nbytes").to_numpy().cumsum(dtype=np.int64)).tolist()
             for s, e, head in _stretches(batch):
-                if held is not None and (head != held[0] or held[7][-1] + 1 != seq[s] or held[3] >= SEGMENT_BYTES):
-                    close()
-                if held is None:
-                    held = (head, seq[s], 0, 0, 0, 0, [], [])
-                _, first, n, stated, read, crc, k, q = held
-                k.extend(keys[s:e])
-                q.extend(seq[s:e])
-                held = (head, first, n + e - s, stated + sizes[e] - sizes[s], read + at[e] - at[s], zlib.crc32(data[at[s] : at[e]], crc), k, q)
+                while s < e:
+                    if held is not None and (head != held[0] or held[7][-1] + 1 != seq[s] or held[3] >= SEGMENT_BYTES):
+                        close()
+                    if held is None:
+                        held = (head, seq[s], 0, 0, 0, 0, [], [])
+                    _, first, n, stated, read, crc, k, q = held
+                    upto = min(e, bisect.bisect_left(sizes, sizes[s] + SEGMENT_BYTES - stated, s + 1, e))
+                    k.extend(keys[s:upto])
+                    q.extend(seq[s:upto])
+                    held = (head, first, n + upto - s, stated + sizes[upto] - sizes[s], read + at[upto] - at[s], zlib.crc32(data[at[s] : at[upto]], crc), k, q)
+                    s = upto
             if len(rows) >= 2000:
                 yield _rows(rows, _SEGMENT_NAMES, _SEGMENT_TYPES)
         close()
@@ -347,7 +353,7 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((*head.values(), seq[s], size[s:upto].tobytes(), bytes(data[at[s] : at[upto]])))
                 held += at[upto] - at[s]
                 s = upto
-                if held >= SEGMENT_BYTES or len(rows) >= 5000:
+                if held >= BATCH_BYTES or len(rows) >= 5000:
                     yield _rows(rows, _DATA_NAMES, _DATA_TYPES)
                     held = 0
     yield _rows(rows, _DATA_NAMES, _DATA_TYPES)

@@ -106,6 +106,22 @@ def test_large_files_and_packs(spark, tmp_path, monkeypatch):
     assert manifest.where("source_id is not null").agg(F.sum("n_in"), F.sum("n_out")).collect()[0] == (len(raws), cp.packs(manifest).agg(F.sum("n_frames")).collect()[0][0])
 
 
+def test_long_files_leave_in_small_rows():
+    """However long a stretch of a file is, a row of it stays small; lengths and checksums add up."""
+    import pyarrow as pa
+
+    raws = [frame(BASE + 8 * k, 2, float(k % 50)) for k in range(9000)]
+    n = len(raws)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * n), pa.array(["s"] * n), pa.array([0] * n), pa.array([0] * n), pa.array(range(n)), pa.array([16] * n, pa.int32()), pa.array(raws), pa.array([r for r in raws])], ["source_id", "stream_name", "day", "chunk", "seq", "nbytes", "raw", "key"])
+    rows = [r for b in cp._segments(cp.SMALL_FILE_BYTES)(iter([batch.slice(0, 5000), batch.slice(5000)])) for r in b.to_pylist()]
+    keys = sorted((r for r in rows if r["kind"] == cp.KEYS), key=lambda r: r["first_seq"])
+    assert len(keys) == 5 and max(r["n_read"] for r in keys) <= cp.SEGMENT_BYTES and sum(r["n"] for r in keys) == n
+    crc = 0
+    for r in keys:
+        crc = crc32_combine(crc, r["crc"], r["n_read"]) if r["first_seq"] else r["crc"]
+    assert crc == zlib.crc32(b"".join(raws))
+
+
 def test_damage_is_seen(spark, tmp_path, monkeypatch):
     f = frames_df(spark, [("s", "a", frame(BASE)), ("s", "b", frame(BASE + 8, 2, 1.0))])
     monkeypatch.setattr(cp, "crc32_combine", lambda *a: 7)
