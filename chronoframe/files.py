@@ -3,36 +3,58 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import urllib.parse
 import zlib
+from collections.abc import Iterator
 
 from pyarrow import fs as pafs
 
 
 def resolve(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path and the path in it."""
-    if re.match(r"^file:/[^/]", path):  # as the JVM writes it
-        return pafs.LocalFileSystem(), path[len("file:") :]
+    """The file system of a path and the path in it. As for Spark, a percent sign stands for itself."""
+    if m := re.match(r"^file:(?://)?(?=/[^/])", path):  # file:/ as the JVM writes it
+        return pafs.LocalFileSystem(), path[m.end() :]
     if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://", path):
-        return pafs.FileSystem.from_uri(path)
+        inside, mark, query = path.partition("?")
+        return pafs.FileSystem.from_uri(inside.replace("%", "%25") + mark + query)
     return pafs.LocalFileSystem(), path
 
 
-def file_sizes(path: str, recursive: bool = True) -> list[tuple[str, int]]:
-    """(path, bytes) of the files at a path, sorted: itself, or those below it. Hidden files and folders, temporary
-    files and indexes are none."""
+def each_file(path: str, recursive: bool = True) -> Iterator[tuple[str, int]]:
+    """(path, bytes) of the files at a path, in no order: itself, or those below it. Hidden files and folders, temporary
+    files and indexes are none. A local folder is walked entry by entry, without holding its files."""
     store, at = resolve(path)
     prefix = path[: len(path) - len(at)] if path.endswith(at) else ""
     info = store.get_file_info(at)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
     if info.type == pafs.FileType.File:
-        return [(path, info.size)]
+        yield path, info.size
+        return
     root = at.rstrip("/")
-    found = store.get_file_info(pafs.FileSelector(at, recursive=recursive))
+    if isinstance(store, pafs.LocalFileSystem):
+        folders = [root or "/"]
+        while folders:
+            with os.scandir(folders.pop()) as entries:
+                for e in entries:
+                    if e.name[:1] in (".", "_"):
+                        continue
+                    if e.is_dir():
+                        folders += [e.path] * recursive
+                    elif e.is_file() and not e.name.endswith((".idx", ".part")):
+                        yield prefix + e.path, e.stat().st_size
+        return
     hidden = lambda p: any(x[:1] in (".", "_") for x in p[len(root) + 1 :].split("/"))
-    return sorted((prefix + f.path, f.size) for f in found if f.type == pafs.FileType.File and not hidden(f.path) and not f.path.endswith((".idx", ".part")))
+    for f in store.get_file_info(pafs.FileSelector(at, recursive=recursive)):
+        if f.type == pafs.FileType.File and not hidden(f.path) and not f.path.endswith((".idx", ".part")):
+            yield prefix + f.path, f.size
+
+
+def file_sizes(path: str, recursive: bool = True) -> list[tuple[str, int]]:
+    """The files of `each_file`, sorted."""
+    return sorted(each_file(path, recursive))
 
 
 def exists(path: str) -> bool:

@@ -7,15 +7,17 @@
 
 A frame file has no sync marker, so it can only be entered where a header walk says. Small files are packed together
 into partitions; files beyond ``splitBytes`` are cut where a Spark job that walks their headers has found frames to start
-(`split_points`); the driver reads no file. Every task reads its bytes in blocks and decodes only the columns asked for.
+(`split_points`), and the pieces are packed together too; the driver reads no file. Every task reads its bytes in blocks and decodes only the columns asked for.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,12 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from chronoframe import vectors
-from chronoframe.files import Output, attempt_name, file_sizes, folder_name, resolve
+from chronoframe.files import Output, attempt_name, each_file, file_sizes, folder_name, resolve
 from chronoframe.schema import DAY_NS, DEFAULT_MAX_FRAME_BYTES, FRAME_SCHEMA, TooShort
 
 FORMAT = "chronoframe"
 PACK_BYTES = 64 << 20
+OPEN_BYTES = 16 << 10  # what opening a file counts when files are packed
 SPLIT_BYTES = 256 << 20
 BATCH_ROWS, BLOCK_BYTES = 20_000, 4 << 20
 _DAY = re.compile(r"/([0-9]{4})/([0-9]{2})/([0-9]{2})/")
@@ -66,10 +69,28 @@ def day_of_path(path: str) -> int | None:
 
 
 class Piece(InputPartition):
-    """Parts of files: (path, first byte, end byte, first seq)."""
+    """Parts of files: (path, first byte, end byte, first seq). They are kept compressed, as paths repeat each other and the
+    driver holds the parts of all tasks."""
 
-    def __init__(self, parts: list[tuple[str, int, int, int]]) -> None:
-        self.parts = parts
+    def __init__(self, parts: list[tuple[str, int, int | None, int]]) -> None:
+        self.packed = zlib.compress(pickle.dumps(parts), 1)
+
+    @property
+    def parts(self) -> list[tuple[str, int, int | None, int]]:
+        return pickle.loads(zlib.decompress(self.packed))
+
+
+def _pieces(parts: Iterable[tuple[str, int, int | None, int, int]], least: int) -> Iterator[Piece]:
+    """Partitions of at least ``least`` bytes each, openings counted, but for the last, from parts with their bytes."""
+    held, size = [], 0
+    for *part, n in parts:
+        held.append(tuple(part))
+        size += n + OPEN_BYTES
+        if size >= least:
+            yield Piece(held)
+            held, size = [], 0
+    if held:
+        yield Piece(held)
 
 
 def _blocks(path: str, start: int, end: int | None, limit: int, fail_fast: bool) -> Iterator[tuple[memoryview, np.ndarray, np.ndarray, int]]:
@@ -111,32 +132,46 @@ def _batches(parts: list[tuple[str, int, int | None, int]], schema: StructType,
                 yield pa.RecordBatch.from_arrays([cols[n].cast(vectors.TYPES[n]) for n in names], names)
 
 
-def split_points(spark: SparkSession, files: list[tuple[str, int]], every: int = SPLIT_BYTES) -> dict[str, list[tuple[int, int]]]:
-    """(byte, seq) of frames about ``every`` bytes apart in each of the files longer than that, by a job of a task per file
-    that walks headers. What comes to the driver is a pair of numbers per ``every`` bytes."""
-    large = [(p,) for p, size in files if size > every]
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with the batches of small files put together."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        if held and (rows + batch.num_rows > BATCH_ROWS or size + batch.nbytes > BLOCK_BYTES):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def split_points(spark: SparkSession, files: Iterable[tuple[str, int]], every: int = SPLIT_BYTES) -> dict[str, list[tuple[int, int]]]:
+    """(byte, seq) of frames about ``every`` bytes apart in each of the files longer than that, by a job that walks headers,
+    in tasks of several files where they are small. What comes to the driver is a pair of numbers per ``every`` bytes."""
+    large = [(p, size) for p, size in files if size > every]
     if not large:
         return {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                points, seq, due = [], 0, every
+            paths, places, seqs = batch.column("path").to_pylist(), [], []
+            for path in paths:
+                at, first, seq, due = [], [], 0, every
                 for _, starts, _, place in _blocks(path, 0, None, 1 << 62, False):
                     i = int(np.searchsorted(starts, due - place))
                     while i < len(starts):
-                        points.append((path, place + int(starts[i]), seq + i))
-                        due = place + int(starts[i]) + every
+                        at.append(place + int(starts[i]))
+                        first.append(seq + i)
+                        due = at[-1] + every
                         i = int(np.searchsorted(starts, due - place))
                     seq += len(starts)
-                cols = list(zip(*points)) if points else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["path", "at", "seq"])
+                places.append(at)
+                seqs.append(first)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(places, pa.list_(pa.int64())), pa.array(seqs, pa.list_(pa.int64()))], ["path", "at", "seq"])
 
-    found = spark.createDataFrame(large, "path string").repartition(len(large), "path").mapInArrow(run, "path string, at long, seq long")
-    out: dict[str, list[tuple[int, int]]] = {}
-    for r in found.collect():
-        out.setdefault(r.path, []).append((r.at, r.seq))
-    return {p: sorted(x) for p, x in out.items()}
+    tasks = min(len(large), max(4 * spark.sparkContext.defaultParallelism, sum(size for _, size in large) // PACK_BYTES))
+    found = spark.createDataFrame([(p,) for p, _ in large], "path string").repartition(tasks).mapInArrow(run, "path string, at array<long>, seq array<long>").toArrow()
+    return {p: list(zip(at, seq)) for p, at, seq in zip(*(found.column(c).to_pylist() for c in ("path", "at", "seq"))) if at}
 
 
 class FrameReader(DataSourceReader):
@@ -168,31 +203,26 @@ class FrameReader(DataSourceReader):
         return day is None or not ((self.low is not None and day + DAY_NS <= self.low) or (self.high is not None and day > self.high))
 
     def partitions(self) -> list[InputPartition]:
-        pack = int(self.options.get("packbytes", PACK_BYTES))
+        pack, tasks = int(self.options.get("packbytes", PACK_BYTES)), int(self.options.get("tasks", 1))
         splits = json.loads(self.options.get("splits", "{}"))
-        out: list[InputPartition] = []
-        parts: list[tuple[str, int, int | None, int]] = []
-        size = 0
+        whole: list[tuple[str, int, int | None, int, int]] = []
+        cut: list[tuple[str, int, int | None, int, int]] = []
         for path, length in file_sizes(self.options["path"], self.options.get("recursive", "true").lower() != "false"):
             if not self._wanted(path):
                 continue
             if path in splits:
                 points = [(0, 0), *map(tuple, splits[path])]
-                ends = [at for at, _ in points[1:]] + [None]
-                out += [Piece([(path, at, end, seq)]) for (at, seq), end in zip(points, ends)]
-                continue
-            parts.append((path, 0, None, 0))
-            size += length
-            if size >= pack:
-                out.append(Piece(parts))
-                parts, size = [], 0
-        if parts or not out:
-            out.append(Piece(parts))
-        return out
+                ends = [at for at, _ in points[1:]]
+                cut += [(path, at, end, seq, (length if end is None else end) - at) for (at, seq), end in zip(points, [*ends, None])]
+            else:
+                whole.append((path, 0, None, 0, length))
+        size = lambda parts: sum(n + OPEN_BYTES for *_, n in parts)
+        out = [*_pieces(cut, min(pack, size(cut) // tasks)), *_pieces(whole, pack)]
+        return out or [Piece([])]
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         limit = int(self.options.get("maxframebytes", DEFAULT_MAX_FRAME_BYTES))
-        yield from _batches(partition.parts, self.schema, limit, self.options.get("mode", "DROPTAIL").upper() == "FAILFAST")
+        yield from _joined(_batches(partition.parts, self.schema, limit, self.options.get("mode", "DROPTAIL").upper() == "FAILFAST"))
 
 
 class FollowReader(DataSourceStreamReader):
@@ -240,7 +270,7 @@ class FollowReader(DataSourceStreamReader):
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         limit = int(self.options.get("maxframebytes", DEFAULT_MAX_FRAME_BYTES))
-        yield from _batches(partition.parts, self.schema, limit, False)
+        yield from _joined(_batches(partition.parts, self.schema, limit, False))
 
     def commit(self, end: dict) -> None:
         pass
@@ -293,7 +323,7 @@ class FrameWriter(DataSourceArrowWriter):
 
 class FrameSource(DataSource):
     """Options: path, columns (only these are decoded into rows), maxFrameBytes, mode (DROPTAIL or FAILFAST), layout=day,
-    packBytes, splits (JSON of `split_points`), recursive, startingAt and maxBytesPerFile (streams), rawColumn (sink)."""
+    packBytes, splits (JSON of `split_points`) and tasks (of their pieces, at least), recursive, startingAt and maxBytesPerFile (streams), rawColumn (sink)."""
 
     @classmethod
     def name(cls) -> str:
@@ -326,9 +356,9 @@ def read_frames(spark: SparkSession, path: str, columns: list[str] | None = None
     """The frames of a file or folder. Files beyond ``split_bytes`` are first walked by a job to find where to cut them."""
     register(spark)
     r = spark.read.format(FORMAT).option("maxFrameBytes", max_frame_bytes).option("mode", mode).option("recursive", str(recursive).lower())
-    splits = split_points(spark, file_sizes(path, recursive), split_bytes)
+    splits = split_points(spark, each_file(path, recursive), split_bytes)
     if splits:
-        r = r.option("splits", json.dumps(splits))
+        r = r.option("splits", json.dumps(splits)).option("tasks", 4 * spark.sparkContext.defaultParallelism)
     if columns:
         r = r.option("columns", ",".join(columns))
     if layout:

@@ -53,6 +53,28 @@ def test_split_and_filters(spark, tmp_path):
     assert src.read_frames(spark, str(tmp_path)).where("source_id = 'nowhere'").count() == 0
 
 
+def test_pieces_of_many_files_share_tasks(spark, tmp_path):
+    raws = _raws(100)
+    for k in range(60):
+        _write(str(tmp_path / f"in/{k:02d}"), raws)
+    df = src.read_frames(spark, str(tmp_path / "in"), ["source_id", "seq", "byte_offset", "raw"], split_bytes=500)
+    most = 4 * spark.sparkContext.defaultParallelism + 1
+    splits = src.split_points(spark, src.file_sizes(str(tmp_path / "in")), 500)
+    assert len(splits) == 60 and min(map(len, splits.values())) > 3
+    assert 4 < df.rdd.getNumPartitions() <= most
+    places = [sum(map(len, raws[:i])) for i in range(100)]
+    rows = df.orderBy("source_id", "seq").collect()
+    assert [(r.source_id[-2:], r.seq, r.byte_offset, bytes(r.raw)) for r in rows] == [(f"{k:02d}", i, places[i], raws[i]) for k in range(60) for i in range(100)]
+
+
+def test_percent_signs_in_uris(spark, tmp_path):
+    raws = _raws(100)
+    _write(str(tmp_path / "in/a%2Fb"), raws)
+    path = f"file://{tmp_path}/in"
+    rows = src.read_frames(spark, path, ["source_id", "raw"], split_bytes=500).collect()
+    assert {r.source_id for r in rows} == {f"{path}/a%2Fb"} and sorted(bytes(r.raw) for r in rows) == sorted(raws)
+
+
 def test_follow(spark, tmp_path):
     path = str(tmp_path / "in/a")
     raws = _raws(40)
