@@ -3,6 +3,7 @@ import pytest
 from chronoframe.operators.dedup import mark_duplicates
 from chronoframe.sources.frames import read_frames
 from chronoframe.streaming import archive as ar
+from chronoframe.streaming import dedup
 from chronoframe.streaming.dedup import mark_duplicates_stream
 from chronoframe.streaming.grouping import count_per_stream
 from tests.makers import BASE, frame, frames_df
@@ -64,6 +65,33 @@ def test_dedup_stream(spark, tmp_path):
         q.stop()
 
 
+def test_dedup_stream_in_stretches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedup, "STRETCH", 16)
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(dedup.WindowDedup):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(dedup, "WindowDedup", Counted)
+    monkeypatch.setattr(dedup, "BUCKETS", 8)
+    f = frames_df(spark, [("s", f"f{k}", frame(BASE + (i * i % 11) * 8, 2, 0.0)) for k in range(20) for i in range(60)])
+    expected = {(r.source_id, r.seq): r.is_dup for r in mark_duplicates(f, 4, by=["source_id"]).collect()}
+    assert len(set(expected.values())) == 2
+    for k, part in enumerate((f.where("seq < 15"), f.where("seq >= 15 and seq < 33"), f.where("seq >= 33"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = mark_duplicates_stream(stream, 4).writeStream.format("memory").queryName("stretched").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+        rows = spark.sql("select * from stretched").collect()
+        assert len(rows) == len(expected) and {(r.source_id, r.seq): r.is_dup for r in rows} == expected
+        assert 0 < calls.value <= 3 * 8  # a call per bucket and batch, not per frame
+    finally:
+        q.stop()
+
+
 def test_count_stream(spark, tmp_path):
     f = frames_df(spark, [("s", "a", frame(BASE + i * 20 * 10**9, 2, 0.0)) for i in range(10)])
     f.write.parquet(str(tmp_path / "in"))
