@@ -62,6 +62,11 @@ def exists(path: str) -> bool:
     return store.get_file_info(at).type != pafs.FileType.NotFound
 
 
+def is_file(path: str) -> bool:
+    store, at = resolve(path)
+    return store.get_file_info(at).type == pafs.FileType.File
+
+
 def is_empty(path: str) -> bool:
     """Whether nothing, or an empty folder, lies at a path."""
     store, at = resolve(path)

@@ -18,9 +18,13 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -41,13 +45,14 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from chronoframe import vectors
-from chronoframe.files import Output, attempt_name, each_file, file_sizes, folder_name, resolve
+from chronoframe.files import Output, attempt_name, each_file, file_sizes, folder_name, is_file, resolve
 from chronoframe.schema import DAY_NS, DEFAULT_MAX_FRAME_BYTES, FRAME_SCHEMA, TooShort
 
 FORMAT = "chronoframe"
 PACK_BYTES = 64 << 20
 OPEN_BYTES = 16 << 10  # what opening a file counts when files are packed
 SPLIT_BYTES = 256 << 20
+LEDGER_FILES = 1000
 BATCH_ROWS, BLOCK_BYTES = 20_000, 4 << 20
 _DAY = re.compile(r"/([0-9]{4})/([0-9]{2})/([0-9]{2})/")
 
@@ -225,28 +230,111 @@ class FrameReader(DataSourceReader):
         yield from _joined(_batches(partition.parts, self.schema, limit, self.options.get("mode", "DROPTAIL").upper() == "FAILFAST"))
 
 
+def _listed(path: str, recursive: bool) -> tuple[str, pa.Array, np.ndarray]:
+    """The folder of all files at a path, their names below it and their lengths, as columns."""
+    root = "" if is_file(path) else path.rstrip("/") + "/"
+    names, sizes = [], []
+    files = iter(each_file(path, recursive))
+    while chunk := list(islice(files, 10_000)):
+        names.append(pa.array([p[len(root) :] for p, _ in chunk], pa.large_string()))
+        sizes.append(np.array([n for _, n in chunk], np.int64))
+    return root, pa.concat_arrays(names or [pa.array([], pa.large_string())]), np.concatenate(sizes or [np.empty(0, np.int64)])
+
+
+class Places:
+    """How far each file was followed: names below a folder, bytes and frames, and bytes and frames of the step before.
+    As columns, since there may be millions of files."""
+
+    def __init__(self, root: str = "", names: pa.Array | None = None, numbers: np.ndarray | None = None) -> None:
+        self.root = root
+        self.names = pa.array([], pa.large_string()) if names is None else names
+        self.numbers = np.zeros((len(self.names), 4), np.int64) if numbers is None else numbers  # at, seq, at and seq before
+
+    def under(self, root: str) -> Places:
+        """The same places with names below another folder; only those that lie in it."""
+        if root == self.root:
+            return self
+        full = pc.binary_join_element_wise(pa.scalar(self.root, pa.large_string()), self.names, pa.scalar("", pa.large_string()))
+        inside = pc.starts_with(full, root)
+        return Places(root, pc.utf8_slice_codeunits(full.filter(inside), len(root)), self.numbers[inside.to_numpy(zero_copy_only=False)])
+
+    def of(self, names: pa.Array) -> np.ndarray:
+        """Bytes and frames of the names, 0 where they are unknown."""
+        if not len(self.names):
+            return np.zeros((len(names), 2), np.int64)
+        where = pc.index_in(names, value_set=self.names)
+        known = where.is_valid().to_numpy(zero_copy_only=False)
+        return np.where(known[:, None], self.numbers[where.fill_null(0).to_numpy(), :2], 0)
+
+    def step(self, names: pa.Array, found: np.ndarray) -> Places:
+        """The places after a step that brought the names to new ones."""
+        where = pc.index_in(names, value_set=self.names) if len(self.names) else pa.nulls(len(names), pa.int32())
+        new = where.is_null().to_numpy(zero_copy_only=False)
+        numbers = np.concatenate([np.tile(self.numbers[:, :2], 2), np.zeros((int(new.sum()), 4), np.int64)])
+        numbers[where.drop_null().to_numpy(), :2] = found[~new]
+        numbers[len(self.names) :, :2] = found[new]
+        return Places(self.root, pa.concat_arrays([self.names, names.filter(pa.array(new))]), numbers)
+
+    def write(self, path: str) -> None:
+        folder, _, name = path.rpartition("/")
+        out = Output(folder, name, uuid.uuid4().hex)
+        table = pa.table({"name": self.names, **{f"n{k}": self.numbers[:, k] for k in range(4)}}).replace_schema_metadata({"root": self.root})
+        pq.write_table(table, out._sink, compression="zstd")
+        out.publish()
+
+    @staticmethod
+    def read(path: str) -> Places:
+        store, at = resolve(path)
+        t = pq.read_table(at, filesystem=store)
+        return Places(t.schema.metadata[b"root"].decode(), pa.concat_arrays([pa.array([], pa.large_string()), *t["name"].cast(pa.large_string()).chunks]), np.stack([t[f"n{k}"].to_numpy() for k in range(4)], 1))
+
+
 class FollowReader(DataSourceStreamReader):
     """Frames appended to the files of a path. An offset is the length and the number of frames of every file up to its last
     complete frame, so a half-written frame is read once it is whole. ``startingAt=end`` skips what is there at the start.
 
+    Beyond ``ledgerFiles`` files an offset only names a file with these numbers, {"": path}. Such files are kept in a
+    hidden folder beside the data, or in the folder ``ledger``; of a run, those before the last committed are deleted.
+
     Each trigger takes at most ``maxBytesPerFile`` more of a file, walked in blocks without holding them; the frames
     themselves are read by the tasks. A file that has not grown is not opened."""
 
     def __init__(self, schema: StructType, options: dict) -> None:
         self.schema, self.options = schema, options
-        self.known: dict[str, list[int]] = {}
+        self.known, self.number, self.ident = Places(), 0, uuid.uuid4().hex[:12]
+        self.at: str | None = None  # the ledger's file of what is known, and that of the step before
+        self.previous: str | None = None
         self.most = int(options.get("maxbytesperfile", 1 << 30))
         self.pack = int(options.get("packbytes", PACK_BYTES))
+        self.inline = int(options.get("ledgerfiles", LEDGER_FILES))
+        self.ledger = options.get("ledger") or options["path"].rstrip("/") + "/.followed"
 
     def _extend(self, most: int | None = None) -> dict:
-        for path, length in file_sizes(self.options["path"], self.options.get("recursive", "true").lower() != "false"):
-            at, seq = self.known.get(path, (0, 0))
-            if length > at:
-                upto = None if most is None else at + most
-                for _, starts, sizes, place in _blocks(path, at, upto, 1 << 62, False):
-                    at, seq = place + int(starts[-1] + sizes[-1]), seq + len(starts)
-                self.known[path] = [at, seq]
-        return {p: list(x) for p, x in self.known.items()}
+        root, names, sizes = _listed(self.options["path"], self.options.get("recursive", "true").lower() != "false")
+        self.known = self.known.under(root)
+        at = self.known.of(names)
+        grown = np.flatnonzero(sizes > at[:, 0])
+        names, sizes, at = names.take(pa.array(grown)), sizes[grown], at[grown]
+        for i in range(len(names)):
+            upto = int(sizes[i]) if most is None else min(int(sizes[i]), int(at[i, 0]) + most)
+            for _, starts, k, place in _blocks(root + names[i].as_py(), int(at[i, 0]), upto, 1 << 62, False):
+                at[i] = place + int(starts[-1] + k[-1]), at[i, 1] + len(starts)
+        whole = at[:, 0] > 0
+        names, at = names.filter(pa.array(whole)), at[whole]
+        changed = len(names) > 0 and bool((self.known.of(names) != at).any())
+        if changed:
+            self.known, self.at, self.previous = self.known.step(names, at), None, self.at
+        if self.at is None and len(self.known.names) > self.inline:
+            self.number += 1
+            self.at = f"{self.ledger.rstrip('/')}/{self.ident}-{self.number:09d}"
+            self.known.write(self.at)
+        return {"": self.at} if self.at else {self.known.root + p: x for p, x in zip(self.known.names.to_pylist(), self.known.numbers[:, :2].tolist())}
+
+    def _places(self, offset: dict) -> Places:
+        if "" in offset:
+            return self.known if offset[""] == self.at else Places.read(offset[""])
+        numbers = np.array(list(offset.values()), np.int64).reshape(-1, 2)
+        return Places("", pa.array(offset, pa.large_string()), np.concatenate([numbers, numbers], 1))
 
     def initialOffset(self) -> dict:
         return self._extend() if self.options.get("startingat", "begin") == "end" else {}
@@ -254,26 +342,36 @@ class FollowReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return self._extend(self.most)
 
+    def _grown(self, start: dict, end: dict) -> Iterator[tuple[str, int, int, int, int]]:
+        places = self._places(end)
+        if not start:
+            before = np.zeros((len(places.names), 2), np.int64)
+        elif self.previous and start.get("") == self.previous and end.get("") == self.at:
+            before = places.numbers[:, 2:]
+        else:
+            before = self._places(start).under(places.root).of(places.names)
+        for i in np.flatnonzero(places.numbers[:, 0] > before[:, 0]).tolist():
+            (at, seq), to = before[i].tolist(), int(places.numbers[i, 0])
+            yield places.root + places.names[i].as_py(), at, to, seq, to - at
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out: list[Piece] = []
-        parts, size = [], 0
-        for path, (to, n) in end.items():
-            at, seq = start.get(path, (0, 0))
-            self.known[path] = max(self.known.get(path, [0, 0]), [to, n])  # after a restart
-            if to > at:
-                parts.append((path, at, to, seq))
-                size += to - at
-                if size >= self.pack:
-                    out.append(Piece(parts))
-                    parts, size = [], 0
-        return out + [Piece(parts)] if parts else out
+        if not len(self.known.names):  # after a restart
+            self.known, self.at = self._places(end), end.get("")
+        return list(_pieces(self._grown(start, end), self.pack))
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         limit = int(self.options.get("maxframebytes", DEFAULT_MAX_FRAME_BYTES))
         yield from _joined(_batches(partition.parts, self.schema, limit, False))
 
     def commit(self, end: dict) -> None:
-        pass
+        """Files of the ledger before the committed one are no longer needed."""
+        if "" in end:
+            folder, _, last = end[""].rpartition("/")
+            store, at = resolve(folder)
+            ident = last.partition("-")[0]
+            for f in store.get_file_info(pafs.FileSelector(at)):
+                if f.base_name.startswith(f"{ident}-") and f.base_name < last:
+                    store.delete_file(f.path)
 
 
 class Written(WriterCommitMessage):
@@ -323,7 +421,7 @@ class FrameWriter(DataSourceArrowWriter):
 
 class FrameSource(DataSource):
     """Options: path, columns (only these are decoded into rows), maxFrameBytes, mode (DROPTAIL or FAILFAST), layout=day,
-    packBytes, splits (JSON of `split_points`) and tasks (of their pieces, at least), recursive, startingAt and maxBytesPerFile (streams), rawColumn (sink)."""
+    packBytes, splits (JSON of `split_points`) and tasks (of their pieces, at least), recursive, startingAt, maxBytesPerFile, ledger and ledgerFiles (streams), rawColumn (sink)."""
 
     @classmethod
     def name(cls) -> str:

@@ -94,6 +94,49 @@ def test_follow(spark, tmp_path):
         q.stop()
 
 
+def test_offsets_of_many_files_stay_small(spark, tmp_path):
+    raws = _raws(40)
+    for k in range(1100):
+        _write(str(tmp_path / f"in/f{k:04d}"), raws[:3])
+
+    def follow_once():
+        q = follow(spark, str(tmp_path / "in"), "begin", ["source_id", "seq", "raw"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sum(len(p["sources"][0]["endOffset"]) for p in q.recentProgress)
+
+    assert follow_once() < 1000
+    for k in range(5):
+        _write(str(tmp_path / f"in/f{k:04d}"), raws, cut=1)
+    _write(str(tmp_path / "in/new"), raws[:7])
+    assert follow_once() < 1000  # a new reader
+    got = sorted((r.source_id[-5:], r.seq, bytes(r.raw)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    expected = [(f"f{k:04d}", i, raws[i]) for k in range(1100) for i in range(39 if k < 5 else 3)] + [("n/new", i, raws[i]) for i in range(7)]
+    assert got == sorted(expected)
+
+
+def test_ledger_steps(tmp_path):
+    for k in range(5):
+        _write(str(tmp_path / f"in/{k}"), _raws(4))
+    reader = src.FollowReader(src.FRAME_SCHEMA, {"path": str(tmp_path / "in"), "ledgerfiles": "2"})
+    first = reader.latestOffset()
+    assert list(first) == [""] and reader.latestOffset() == first
+    for k in (1, 4, 7):
+        _write(str(tmp_path / f"in/{k}"), _raws(6), cut=1)
+    second = reader.latestOffset()
+    grown = lambda r: sorted((p[-1], seq) for piece in r.partitions(first, second) for p, _, _, seq in piece.parts)
+    assert grown(reader) == [("1", 4), ("4", 4), ("7", 0)]
+    assert grown(src.FollowReader(src.FRAME_SCHEMA, {"path": str(tmp_path / "in"), "ledgerfiles": "2"})) == grown(reader)
+    for k, inline in enumerate(("2", "100")):  # restarted with a batch that was planned: nothing is new
+        options = {"path": str(tmp_path / "in"), "ledgerfiles": inline}
+        planned, again = src.FollowReader(src.FRAME_SCHEMA, options).latestOffset(), src.FollowReader(src.FRAME_SCHEMA, options)
+        assert len(again.partitions({}, planned)[0].parts) == 6 + k and again.latestOffset() == planned
+        _write(str(tmp_path / f"in/new{k}"), _raws(2))
+        assert [(p[-4:], n) for piece in again.partitions(planned, again.latestOffset()) for p, n, *_ in piece.parts] == [(f"new{k}", 0)]
+    reader.commit(second)
+    kept = [f.name for f in (tmp_path / "in/.followed").iterdir() if f.name.startswith(reader.ident)]
+    assert kept == [second[""].rpartition("/")[2]] and len(list(reader.partitions({}, second)[0].parts)) == 6
+
+
 def test_lines(spark, tmp_path):
     (tmp_path / "p").write_text("a\n\nb\nlast")
     assert [r.value for r in src.read_lines(spark, str(tmp_path / "p")).collect()] == ["a", "b", "last"]
