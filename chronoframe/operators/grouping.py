@@ -91,25 +91,24 @@ def index_frames(index: DataFrame) -> DataFrame:
 def write_indexes(index: DataFrame) -> DataFrame:
     """Write each source's index beside it, as ``<source>.idx``; yields the paths and numbers of entries. A file is
     renamed into place, so a repeated task replaces it."""
-    import os
-
     from chronoframe import codec
+    from chronoframe.files import Output, attempt_name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = attempt_name()
         path, sink, n, done = None, None, 0, []
 
         def close() -> None:
             if sink is not None:
-                sink.close()
-                os.replace(sink.name, path)
-                done.append((path, n))
+                done.append((sink.publish(), n))
 
         for batch in batches:
             for row in batch.to_pylist():
                 if path != row["source_id"] + ".idx":
                     close()
                     path, n = row["source_id"] + ".idx", 0
-                    sink = open(path + ".part", "wb")  # noqa: SIM115
+                    folder, _, last = path.rpartition("/")
+                    sink = Output(folder, last, attempt)
                 sink.write(codec.pack(row["tm_ns"], 1, v1=row["byte_offset"]))
                 n += 1
         close()

@@ -21,7 +21,7 @@ from chronoframe.operators import filters, grouping, ordering, series
 from chronoframe.operators.compaction import pack_files
 from chronoframe.plans.tables import table
 from chronoframe.schema import DAY_NS, HOUR_NS, MINUTE_NS, FrameError
-from chronoframe.session import scratch_path
+from chronoframe.session import cut_lineage, scratch_path
 from chronoframe.sources import frames as src
 from chronoframe.streaming import archive as ar
 from chronoframe.streaming.dedup import ROCKSDB, mark_duplicates_stream
@@ -173,9 +173,8 @@ def index_files(spark, d):
     """Index files written beside their sources and read back as frames."""
     root = _stored(spark, d)
     index = grouping.time_index(src.read_frames(spark, root, ["source_id", "seq", "tm_ns", "byte_offset"]))
-    paths_written = [r.path for r in grouping.write_indexes(index).select("path").where("path is not null").toLocalIterator()]
+    written = cut_lineage(grouping.write_indexes(index).select("path"))
     at = scratch_path(spark, "indexes")
-    named = spark.createDataFrame([(p,) for p in paths_written], "path string")
 
     def load(batches):
         from chronoframe.files import resolve
@@ -188,7 +187,7 @@ def index_files(spark, d):
                     blobs.append(f.read())
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([0] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["source_id", "seq", "raw"])
 
-    src.write_sources(named.mapInArrow(load, "source_id string, seq long, raw binary"), at, F.regexp_replace(F.substring_index("source_id", "/", -1), r"\.idx$", "")).write.format("noop").mode("overwrite").save()
+    src.write_sources(written.mapInArrow(load, "source_id string, seq long, raw binary"), at, F.regexp_replace(F.substring_index("source_id", "/", -1), r"\.idx$", "")).write.format("noop").mode("overwrite").save()
     return src.read_frames(spark, at, ["source_id", "tm_ns", "v1"]).select(_source(at), "tm_ns", F.col("v1").alias("byte_offset"))
 
 

@@ -40,3 +40,23 @@ def test_queries_without_sql_run(spark):
     for name in set(queries) - set(sql):
         assert queries[name](spark, DATA).count() >= 0
     assert entry.entry(spark).count() > 0
+
+
+@needs_data
+def test_index_files_stay_off_the_driver(spark, monkeypatch, tmp_path):
+    """No path of a written index comes to the driver, and indexes are written beside sources named by a URI."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from chronoframe.operators import grouping
+    from chronoframe.sources.frames import read_frames
+
+    def refuse(self, *_):
+        raise AssertionError("rows are gathered on the driver")
+
+    expected = entry.queries()["index_files"](spark, DATA).count()
+    for name in ("collect", "toLocalIterator", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, refuse)
+    assert entry.queries()["index_files"](spark, DATA).count() == expected > 0
+    spark.read.parquet(f"{DATA}/frames.parquet").where("source_id is not null").limit(1).select("raw").coalesce(1).write.format("chronoframe").mode("append").save(str(tmp_path / "a%2Fb"))
+    index = grouping.time_index(read_frames(spark, f"file://{tmp_path}"))
+    assert grouping.write_indexes(index).count() == 1
